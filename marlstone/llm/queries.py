@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, survivor, tokens
+from marlstone.llm import mixing, survivor, tokens, variants
 from marlstone.operators.intervals import ymd
 from marlstone.plans.registry import Registry
 from marlstone.session import table, written
@@ -52,3 +52,23 @@ def p8_mixture(spark, sf_dir):
 def p8_shares(spark, sf_dir):
     counts, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
     return mixing.shares(mixing.mix(counts, targets), counts, targets)
+
+
+def _variants(spark, sf_dir):
+    own = table(spark, sf_dir, "own_rows").where("not coalesce(is_group_row, false)").select(F.col("holder_name").alias("name"), F.col("cik").alias("place"))
+    s1 = table(spark, sf_dir, "s1_persons").select(F.col("name_raw").alias("name"), F.col("cik").alias("place"))
+    names = variants.stored_names([(table(spark, sf_dir, "split_s12"), "fundname", True), (own, "name", False), (s1, "name", False)])
+    return variants.link_variants(names, own.unionByName(s1))
+
+
+@R.add("p5_found")
+def p5_found(spark, sf_dir):
+    return variants.variant_pairs(_variants(spark, sf_dir))
+
+
+@R.add("p5_clusters")
+def p5_clusters(spark, sf_dir):
+    """One row per stored name with its cluster and the number of spellings in it."""
+    c = _variants(spark, sf_dir)
+    size = c.groupBy("cluster").agg(F.count("*").alias("n_spellings"))
+    return c.join(size, "cluster")
