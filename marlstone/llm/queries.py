@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, survivor, tokens, variants
+from marlstone.llm import linkage, mixing, survivor, tokens, variants
 from marlstone.operators.intervals import ymd
 from marlstone.plans.registry import Registry
 from marlstone.session import table, written
@@ -72,3 +72,45 @@ def p5_clusters(spark, sf_dir):
     c = _variants(spark, sf_dir)
     size = c.groupBy("cluster").agg(F.count("*").alias("n_spellings"))
     return c.join(size, "cluster")
+
+
+def _units(spark, sf_dir):
+    """Classes of one fund: joined by portfolio or by wficn."""
+    classes, links = table(spark, sf_dir, "portnomap"), table(spark, sf_dir, "mflink_portno")
+    edges = classes.select(F.col("crsp_fundno").alias("node"), F.concat(F.lit("p"), "crsp_portno").alias("hub"))
+    edges = edges.unionByName(links.join(classes.select("crsp_fundno").distinct(), "crsp_fundno", "left_semi").select(F.col("crsp_fundno").alias("node"), F.concat(F.lit("w"), "wficn").alias("hub")))
+    alone = classes.where("crsp_fundno is not null").select(F.col("crsp_fundno").alias("node"), F.concat(F.lit("c"), "crsp_fundno").alias("hub"))
+    return linkage.components(edges.unionByName(alone))
+
+
+def _links(spark, sf_dir):
+    holds = table(spark, sf_dir, "split_s12").where("fundno is not null")
+    size = F.when(F.col("assets") > 0, F.ln(F.col("assets") / 100))
+    left = holds.groupBy(F.col("fundno").alias("fund"), F.col("fundname").alias("title"), F.col("mgrcoab").alias("manager"), F.col("ioc").cast("string").alias("objective")).agg(
+        F.count("*").alias("n"), F.sum(size).alias("log_sum"), F.count(size).alias("log_n"), F.min("rdate").alias("first"), F.max("rdate").alias("last")
+    )
+    unit = written(_units(spark, sf_dir), "units")
+    classes = table(spark, sf_dir, "portnomap").join(unit.withColumnRenamed("node", "crsp_fundno"), "crsp_fundno")
+    # A fund's assets are those of all its classes: each row of a class stands for the whole unit.
+    tna = classes.where("tna_latest > 0").groupBy("unit", "crsp_fundno").agg(F.avg("tna_latest").alias("t")).groupBy("unit").agg(F.ln(F.sum("t")).alias("log_size"))
+    right = classes.groupBy("unit", F.col("fund_name").alias("title"), F.col("mgmt_name").alias("manager"), F.col("crsp_obj_cd").alias("objective")).agg(
+        F.count("*").alias("n"), F.min("begdt").alias("first"), F.max(F.coalesce("enddt", F.lit("9999-12-31").cast("date"))).alias("last")
+    )
+    right = right.join(tna, "unit", "left").select("*", F.col("log_size").alias("log_sum"), F.when(F.col("log_size").isNotNull(), 1).alias("log_n")).drop("log_size")
+    right = right.withColumn("log_sum", F.col("log_sum") * F.col("n")).withColumn("log_n", F.col("log_n") * F.col("n"))
+    return linkage.link_funds(written(left, "left"), written(right, "right")), unit
+
+
+@R.add("p1_found")
+def p1_found(spark, sf_dir):
+    links, unit = _links(spark, sf_dir)
+    return links.join(unit, "unit").select(F.col("fund").alias("fundno"), F.col("node").alias("crsp_fundno"))
+
+
+@R.add("p1_links")
+def p1_links(spark, sf_dir):
+    """The same with the confidence, and the wficn where MFLINKS has one."""
+    links, unit = _links(spark, sf_dir)
+    w = table(spark, sf_dir, "mflink_portno").where("wficn is not null").groupBy("crsp_fundno").agg(F.min("wficn").alias("wficn"))
+    out = links.join(unit, "unit").select(F.col("fund").alias("fundno"), F.col("node").alias("crsp_fundno"), F.round("confidence", 6).alias("confidence"))
+    return out.join(w, "crsp_fundno", "left")
