@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.llm import linkage, mixing, survivor, tokens, variants
+from marlstone.llm import abuse, linkage, mixing, survivor, tokens, variants
 from marlstone.operators.intervals import ymd
 from marlstone.plans.registry import Registry
 from marlstone.session import table, written
@@ -114,3 +114,23 @@ def p1_links(spark, sf_dir):
     w = table(spark, sf_dir, "mflink_portno").where("wficn is not null").groupBy("crsp_fundno").agg(F.min("wficn").alias("wficn"))
     out = links.join(unit, "unit").select(F.col("fund").alias("fundno"), F.col("node").alias("crsp_fundno"), F.round("confidence", 6).alias("confidence"))
     return out.join(w, "crsp_fundno", "left")
+
+
+@R.add("p9_found")
+def p9_found(spark, sf_dir):
+    return abuse.score_documents(table(spark, sf_dir, "documents"), ["doc_id"]).where("score >= 0.5").select("doc_id").distinct()
+
+
+@R.add("p9_scores")
+def p9_scores(spark, sf_dir):
+    return abuse.score_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@R.add("p9_rates")
+def p9_rates(spark, sf_dir):
+    """Share of documents with such content per source."""
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce(mixing.plain_source("source"), F.lit("unknown")))
+    s = abuse.score_documents(docs, ["doc_id", "source"])
+    hit = lambda c: F.count(F.when(F.col(c) >= 1, 1))
+    out = s.groupBy("source").agg(F.count("*").alias("n_docs"), F.count(F.when(F.col("score") >= 0.5, 1)).alias("n_cases"), *[hit(c).alias(f"n_{c}") for c in ("abusive", "hateful", "sexual")])
+    return out.withColumn("rate", F.col("n_cases") / F.col("n_docs"))
