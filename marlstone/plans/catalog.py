@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import panel_problems, relational
+from marlstone.plans import aggregation, panel_problems, relational
 from marlstone.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [panel_problems.R, relational.R]
+    return [panel_problems.R, relational.R, aggregation.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
