@@ -177,7 +177,7 @@ def char_wb_ngrams(c: ColumnLike, low: int = 2, high: int = 4) -> Column:
     def of(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
         size = F.length(p)
-        lengths = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: (n <= size) | (n == F.greatest(size + 1, F.lit(low))))
+        lengths = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: (n <= size) | (n == F.lit(low)))
         return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(p, i, n))))
 
     return F.flatten(F.transform(tokens(F.lower(col(c))), of))

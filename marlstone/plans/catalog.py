@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import aggregation, functions, panel_problems, quality, relational, ticks
+from marlstone.plans import aggregation, functions, panel_problems, quality, relational, resolution, ticks
 from marlstone.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [panel_problems.R, relational.R, aggregation.R, functions.R, ticks.R, quality.R]
+    return [panel_problems.R, relational.R, aggregation.R, functions.R, ticks.R, quality.R, resolution.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
