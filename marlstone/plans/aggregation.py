@@ -50,9 +50,9 @@ def _(t):
     return by_year.groupBy("l_partkey").agg(F.sum("s").alias("total"), F.sum("q").alias("squares"), F.max("m").alias("top"))
 
 
-@R.on("agg_hhi", "SELECT l_partkey, round(sum(l_quantity * l_quantity) / (sum(l_quantity) * sum(l_quantity)), 6) AS hhi FROM lineitem GROUP BY 1")
+@R.on("agg_hhi", "SELECT l_partkey, round(sum(l_quantity * l_quantity) / (sum(l_quantity) * sum(l_quantity)), 9) AS hhi FROM lineitem GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_partkey").agg(F.round(A.hhi("l_quantity"), 6).alias("hhi"))
+    return t("lineitem").groupBy("l_partkey").agg(F.round(A.hhi("l_quantity"), 9).alias("hhi"))
 
 
 @R.on(
