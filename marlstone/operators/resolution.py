@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
 from marlstone.operators.dedup import first_of, top
+from marlstone.session import written
 
 
 def gram_vectors(left: DataFrame, right: DataFrame, low: int = 2, high: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +23,7 @@ def gram_vectors(left: DataFrame, right: DataFrame, low: int = 2, high: int = 4)
         g = df.select("id", F.explode(S.char_wb_ngrams("name", low, high)).alias("g"))
         return g.groupBy("id", "g").agg(F.count("*").alias("tf"))
 
-    gl, gr = grams(left), grams(right)
+    gl, gr = written(grams(left), "grams"), written(grams(right), "grams")
     n = left.select(F.lit(1).alias("x")).unionByName(right.select(F.lit(1).alias("x"))).agg(F.count("*").alias("n"))
     df = gl.select("g").unionByName(gr.select("g")).groupBy("g").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n)).select("g", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -36,27 +37,36 @@ def gram_vectors(left: DataFrame, right: DataFrame, low: int = 2, high: int = 4)
     return vectors(left, gl), vectors(right, gr)
 
 
-def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str | None = None, only: DataFrame | None = None) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str | None = None, only: DataFrame | None = None, probe_part: float = 0.6) -> DataFrame:
     """``left_id, right_id, score``: per left id the ``k`` best right names with cosine of at least ``floor``.
 
     A pair can only reach the floor by sharing one of the left vector's heaviest
-    grams: those before its rest is shorter than the floor.  Only these are looked
-    up, so the most common grams, which end up in the rest, are hardly ever joined;
-    no pair is lost and no gram dropped.  With ``scope``, a column of both sides,
+    grams: those before its rest is shorter than the floor.  Here grams are looked up
+    until the rest is shorter than ``probe_part`` of the floor; a pair whose sum so
+    far, and the most that both rests can add, stay under the floor is left out
+    before the exact score.  The most common grams end up in the rest and are hardly
+    ever joined; no pair is lost and no gram dropped.  With ``scope``, a column of both sides,
     pairs are sought within equal scopes only, under the same weights.  ``only``:
     the left ids to look up, if not all; the weights stay those of all names.
     """
-    vl, vr = gram_vectors(left, right)
+    vl, vr = (written(v, "vectors") for v in gram_vectors(left, right))
     if only is not None:
         vl = vl.join(only, "id", "left_semi")
-    # Weights fall: keep grams while the squared length still to come reaches the floor.
-    step = lambda acc, x: F.struct((acc["rest"] - x["w"] * x["w"]).alias("rest"), F.when(acc["rest"] >= floor * floor * 0.999, F.concat(acc["out"], F.array(x["g"]))).otherwise(acc["out"]).alias("out"))
-    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<string>").alias("out"))
+    # Weights fall: keep grams while the squared length still to come reaches a part of the floor.
+    left_over = (floor * probe_part) ** 2
+    step = lambda acc, x: F.struct((acc["rest"] - x["w"] * x["w"]).alias("rest"), F.when(acc["rest"] >= left_over, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<struct<w:double,g:string>>").alias("out"))
     probe = F.aggregate("vec", start, step, lambda acc: acc["out"])
     extra = [scope] if scope else []
-    pl = vl.select(F.col("id").alias("left_id"), *extra, F.explode(probe).alias("g"))
-    pr = vr.select(F.col("id").alias("right_id"), *extra, F.explode(F.transform("vec", lambda x: x["g"])).alias("g"))
-    pairs = pl.join(pr, ["g", *extra]).select("left_id", "right_id").distinct()
+    pl = vl.select(F.col("id").alias("left_id"), *extra, F.explode(probe).alias("p")).select("left_id", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wl"))
+    pr = vr.select(F.col("id").alias("right_id"), *extra, F.explode("vec").alias("p")).select("right_id", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wr"))
+    # Few bytes make many pairs: a fixed number of partitions, which adaptive execution does not merge by size.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pl, pr = pl.repartition(n, "g", *extra), pr.repartition(n, "g", *extra)
+    part = pl.join(pr, ["g", *extra]).groupBy("left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"), F.sum(F.col("wr") * F.col("wr")).alias("r"))
+    # What the grams not looked up can still add is at most the product of both rests.
+    most = F.col("s") + floor * probe_part * F.sqrt(F.greatest(1 - F.col("r"), F.lit(0.0)))
+    pairs = part.where(most >= floor * 0.999999).select("left_id", "right_id")
     asmap = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["g"], x["w"])))
     full = pairs.join(vl.select(F.col("id").alias("left_id"), F.col("vec").alias("a")), "left_id").join(vr.select(F.col("id").alias("right_id"), asmap.alias("b")), "right_id")
     score = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(F.col("b"), x["g"]), F.lit(0.0)))

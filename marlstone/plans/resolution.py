@@ -13,9 +13,9 @@ R = Registry()
 
 def _names(t):
     """Distinct normalised names of both sides, as (id, name, scope); the scope is the first letter."""
-    left = t("split_s12").where("fundname is not null").select(S.normalize_name("fundname").alias("name")).where("name != ''").distinct()
+    left = t("split_s12").where("fundname is not null").select("fundname").distinct().select(S.normalize_name("fundname").alias("name")).where("name != ''").distinct()
     title = F.regexp_replace(F.regexp_replace("fund_name", r"^[^:]*: ", ""), r"(?: - Class .*|; .*|/[^/]*)$", "")
-    right = t("portnomap").where("fund_name is not null").select(S.normalize_name(title).alias("name")).where("name != ''").distinct()
+    right = t("portnomap").where("fund_name is not null").select("fund_name").distinct().select(S.normalize_name(title).alias("name")).where("name != ''").distinct()
     side = lambda d: d.select(F.col("name").alias("id"), "name", F.substring("name", 1, 1).alias("scope"))
     return side(left), side(right)
 
