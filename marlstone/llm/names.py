@@ -133,7 +133,8 @@ _CODE = re.compile(r"^(?:\d{4}|[A-Z]\d{4}) (?=\D)")
 
 def fund(s: str) -> Parts:
     """Family, style and designators of a folded fund title."""
-    s = _NOTE.sub("", _CODE.sub("", s)).replace("'", "")
+    turned = re.search(r"^[^,]+\b(?:FUND|FD|FND|\w{2,4}), *([A-Z0-9]+)$", s)
+    s = _NOTE.sub("", s if turned else _CODE.sub("", s)).replace("'", "")
     s = _HEAD.sub(lambda m: m.group(0).split(" ")[0] + " ", s) if not s.count(":") else re.sub(r"^[^:]*: ?", "", s) if _HEAD.match(s) is None else _keep_family(s)
     s = _CLASS.sub("", s)
     s = re.sub(r",? INC\.?$", "", s) if re.search(r"\b(?:FUND|FD|FND),? INC\.?$", s) or re.search(r", INC\.?$", s) else s
@@ -181,7 +182,8 @@ def firm(s: str) -> Parts:
 def person(s: str, capitals: bool) -> Parts:
     s = re.sub(r"\b(PH)\.\s?D\b\.?|\b(M)\.D\b\.?", lambda m: "PHD" if m.group(1) else "MD", re.sub(r",? C/O .*$", "", s))
     head, _, tail = s.partition(",")
-    clean = lambda x: [t.strip(".'") for t in re.split(r"[ .]+", x.translate(str.maketrans({",": " "}))) if t.strip(".'")]
+    full = {"JUNIOR": "JR", "SENIOR": "SR"}
+    clean = lambda x: [full.get(t.strip(".'"), t.strip(".'")) for t in re.split(r"[ .]+", x.translate(str.maketrans({",": " "}))) if t.strip(".'")]
     left, right = clean(head), clean(tail)
     marks = "".join(t for t in [*left, *right] if t in SUFFIXES)
     drop = SUFFIXES | DEGREES

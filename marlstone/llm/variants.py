@@ -17,13 +17,13 @@ SIMILARITY, RECALL, ROWS = 0.55, 0.98, 3
 
 
 def grams(p: Parts, q: int = 3) -> set[str]:
-    """Padded q-grams of what tells names apart: surname and given name; the head of a fund's or firm's name."""
+    """Padded q-grams of what tells names apart: surname and the head of the given name; the head of a fund's or firm's name."""
     def of(w: str, tail: bool = True) -> set[str]:
         w = "#" * (q - 1) + w + "#" * ((q - 1) * tail)
         return {w[i : i + q] for i in range(len(w) - q + 1)}
 
     if p.kind == "P":
-        return of(p.l) | {"1" + g for g in of(p.a)}
+        return of(p.l) | {"1" + g for g in of(p.a[:4], False)}
     return of((p.l + p.a)[:12], False) | {f"{i}:{p.a[:5]}" for i in range(2)}
 
 
@@ -131,7 +131,7 @@ def link_variants(names: DataFrame, context: DataFrame | None = None, least: flo
     both = edges.select(F.col("idx").alias("u"), F.col("idy").alias("v"), "score").unionByName(edges.select(F.col("idy").alias("u"), F.col("idx").alias("v"), "score"))
     degree = both.groupBy("u").agg(F.count("*").alias("degree"))
     rank = forms.select(F.col("id").alias("u"), "whole", "n").join(degree, "u")
-    rank = rank.select("u", F.struct("whole", "n", "degree", "u").alias("rank"), "n")
+    rank = rank.select("u", F.struct("whole", "degree", "n", "u").alias("rank"), "n")
     ru, rv = rank.select("u", F.col("rank").alias("ru")), rank.select(F.col("u").alias("v"), F.col("rank").alias("rv"), F.col("n").alias("nv"))
     graph = written(both.join(ru, "u").join(rv, "v"), "graph")
 
