@@ -33,14 +33,14 @@ SUFFIXES = {"JR", "SR", "II", "III", "IV"}
 # Words of fund titles and managers' names, each with the short forms in use.
 WORDS = {
     "FUND": "FD FND", "FUNDS": "FDS", "TRUST": "TR", "SERIES": "SER", "PORTFOLIO": "PORT PTF", "EQUITY": "EQ EQTY", "GROWTH": "GR GRTH GRW", "BOND": "BD",
-    "CAP": "CP", "HIGH": "", "YIELD": "YLD", "INCOME": "INC INCM", "CORE": "", "VALUE": "VAL VL", "TARGET": "TGT", "RETIREMENT": "RET RTMT",
+    "CAP": "CP CAPITAL", "HIGH": "", "YIELD": "YLD", "INCOME": "INC INCM", "CORE": "", "VALUE": "VAL VL", "TARGET": "TGT", "RETIREMENT": "RET RTMT",
     "INTERNATIONAL": "INTL INTERNAT", "INDEX": "IDX INDX", "SECURITIES": "SEC SECS", "FOCUSED": "", "SOCIALLY": "", "RESPONSIBLE": "", "EUROPEAN": "",
     "INVESTMENT": "INVT", "PRECIOUS": "", "METALS": "", "MID": "", "SMALL": "SM SML", "LARGE": "LG LRG", "REAL": "", "ESTATE": "", "TERM": "TRM",
     "NATURAL": "", "RESOURCES": "RES", "MARKETS": "MKTS", "MARKET": "MKT", "PACIFIC": "", "BASIN": "", "UTILITIES": "UTIL UTILS", "LOW": "",
     "VOLATILITY": "VOL", "EMERGING": "EMRG EMERG", "DEBT": "", "BALANCED": "BAL", "ALLOCATION": "ALLOC", "HEALTH": "HLTH", "CARE": "",
-    "MUNICIPAL": "MUN MUNI", "GLOBAL": "GL GLBL", "STRATEGIC": "STRAT", "SHORT": "SH", "SERVICES": "SVCS", "OPPORTUNITY": "OPP OPPTY",
-    "OPPORTUNITIES": "OPPS", "TECHNOLOGY": "TECH", "DIVIDEND": "DIV", "CONSERVATIVE": "CONSRV", "TOTAL": "TOT", "FINANCIAL": "FIN FINL",
-    "CONVERTIBLE": "CONV", "AGGRESSIVE": "AGG AGGR", "GOVERNMENT": "GOV GOVT", "MODERATE": "MOD", "CAPITAL": "", "INTERMEDIATE": "INT INTERM",
+    "MUNICIPAL": "MUN MUNI", "GLOBAL": "GL GLBL", "STRATEGIC": "STRAT", "SHORT": "SH", "SERVICES": "SVCS", "OPPORTUNITY": "OPP OPPTY OPPS OPPORTUNITIES",
+    "TECHNOLOGY": "TECH", "DIVIDEND": "DIV", "CONSERVATIVE": "CONSRV", "TOTAL": "TOT", "FINANCIAL": "FIN FINL",
+    "CONVERTIBLE": "CONV", "AGGRESSIVE": "AGG AGGR", "GOVERNMENT": "GOV GOVT", "MODERATE": "MOD", "INTERMEDIATE": "INT INTERM",
     "APPRECIATION": "APP APPREC", "AND": "&", "SELECT": "SEL", "SPECIAL": "SPL",
 }
 FIRM = {"MANAGEMENT": "MGT MGMT", "ADVISORS": "ADV ADVS ADVISERS", "PARTNERS": "PTNRS", "ASSET": "ASST", "INVESTMENT": "INVT", "CAPITAL": "CAP"}
@@ -151,7 +151,7 @@ def fund(s: str) -> Parts:
             marks.append("SERIES" + t)
         elif t in ("SERIES", "SER") and i < last and len(toks[i + 1]) == 1:
             continue
-        elif i == last and i > 1 and t in ("F", "FU", "FUN"):
+        elif i > 1 and (t in ("F", "FU", "FUN") and i == last or t[0] == "F" and len(t) <= 5 and (typo(t, "FND") or typo(t, "FUND") or set(t) == {"F", "D"})):
             has = True
         elif not family and not t.isdigit() and (word(t) is None or turned):
             if t != "THE":
