@@ -138,7 +138,7 @@ class Decoder:
             for form in (text, single, *(w for w in self.by_single.get(single, ()) if len(w) >= 4)):
                 if form in self.words:
                     return form
-            signs = any(c in _LEET for c in token)
+            signs = 0 < sum(c in _LEET for c in token) < sum(c in _CODE for c in token)
             # Another word than those looked for: only where signs stood for letters and the model likes it better.
             if signs and not any(c in _LEET for c in text) and cost < self.viterbi([[(c, 0.0)] for c in token])[1]:
                 token = text
