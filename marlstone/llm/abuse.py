@@ -225,7 +225,7 @@ PATTERNS: list[tuple[str, float, re.Pattern]] = [
         ("hateful", 1.0, rf"\b(?:breed|multiply) like\b|\bare {_DEH}\b(?! (?:data|fund|spirit))|\b{_any(DEHUMAN)},? the lot of them\b|\bthose {_DEH}\b"),
         ("hateful", 1.0, r"\b(?:deserve no rights|no place among decent|not people as we are|not (?:even )?human|subhuman|lesser (?:kind|sort|race)|born thieves|kept (?:apart|away) from our children)\b"),
         ("hateful", 1.0, r"\b(?:driven out of the country|be sterilised|be sterilized|ship them off|lock every one of them away|live off the rest of us)\b"),
-        ("hateful", 1.0, r"\b(?:stink and steal|who steal, it is in their blood|it is in their blood|it is how they are born|ruin everything they touch)\b"),
+        ("hateful", 1.0, r"\b(?:stink and steal|who steal, it is in their blood|it is in their blood|it is how they are born|ruin everything they touch|crawled out from|can smell it when)\b"),
         ("hateful", 1.0, r"\bwould not let [^.!?]{1,60} have children\b|\bbelong in the kitchen\b|\btoo (?:dumb|dim|stupid) (?:to read|for that)\b"),
         ("hateful", 1.0, r"\b(?:sooner|once|until)\b[^.!?]{0,60}\bwiped (?:out|off)\b|\bwiped off\b"),
         ("hateful", 0.6, r"\b(?:smell|hired)\b"),
@@ -234,7 +234,7 @@ PATTERNS: list[tuple[str, float, re.Pattern]] = [
         ("hateful", 1.0, r"\bsont (?:des|de la|tous des) (?:rats?|parasites?|vermine?|sous[- ]hommes|animaux|chiens)\b|\bvermine?, dehors\b|\bsous[- ]hommes\b"),
         ("hateful", 1.0, r"\bson (?:una |la )?(?:basura|ratas|animales|escoria|parasitos|plaga)\b|\bechar(?:los|las) a tod[oa]s\b|\bni siquiera son personas\b"),
         # Sex: explicit acts, body parts and offers.
-        ("sexual", 1.0, r"\b(?:naked|nude) (?:pictures?|photos?|pics?|selfies?)\b|\bget naked\b|\bhorny\b|\bxxx\b|\bsex tapes?\b|\b(?:hot|wild) sex\b"),
+        ("sexual", 1.0, r"\b(?:naked|nude) (?:pictures?|photos?|pics?|selfies?)\b|\bget naked\b|\bhorny\b|\bxxx\b|\bsex tapes?\b|\b(?:hot|wild) sex\b|\bporno?\b"),
         ("sexual", 1.0, r"\blick every inch\b|\bstripped and spanked\b|\bundress\b[^.!?]{0,40}\b(?:slowly|watch)\b|\bstroke (?:themselves|himself|herself|myself|yourself)\b"),
         ("sexual", 1.0, r"\bmake (?:her|him|me|you) come\b|\btake it in the mouth\b|\b(?:whole )?climax\b|\bevery thrust\b|\bdripping wet\b|\bhands off myself\b"),
         ("sexual", 1.0, r"\b(?:to|wanna) (?:bang|fuck|screw)\b(?! the| up)|\b(?:bang|fuck|ride|screw) (?:you |me |until |all night)|\btouch each other\b"),
