@@ -23,6 +23,16 @@ def plain_source(source: str | Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), "-", "_")
 
 
+def plain_language(lang: str | Column) -> Column:
+    """A language code of two or three letters in lower case, whatever region follows; anything else is ``und``.
+
+    So a source has a bounded number of leaves, however dirty the column is.
+    """
+    c = F.col(lang) if isinstance(lang, str) else lang
+    code = F.regexp_extract(F.lower(F.trim(c)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(code != "", code).otherwise(F.lit("und"))
+
+
 @dataclass
 class Node:
     """A node of the domain-language-source tree with its budget and what it can still take."""
@@ -84,8 +94,8 @@ def mix(
 ) -> DataFrame:
     """``doc_id, source, lang, n_tokens, repeats`` of the documents chosen.
 
-    ``counts``: ``doc_id, source, lang, n_tokens`` of all documents, ``source`` in
-    plain form; ``targets``: ``source, target_share, max_repeats`` (a fixed table
+    ``counts``: ``doc_id, source, lang, n_tokens`` of all documents, ``source`` and
+    ``lang`` in plain form (a bounded number of leaves); ``targets``: ``source, target_share, max_repeats`` (a fixed table
     of few rows).  A leaf is a (domain, language, source); a source's share is
     split over its languages by their tokens.  A leaf's budget is met by whole
     epochs over all its documents and a token-prefix of one more, each epoch in its

@@ -39,7 +39,7 @@ def p7_ids(spark, sf_dir):
 
 
 def _counted(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("source", mixing.plain_source("source")).withColumn("lang", F.lower(F.trim("lang")))
+    docs = table(spark, sf_dir, "documents").withColumn("source", mixing.plain_source("source")).withColumn("lang", mixing.plain_language("lang"))
     return written(tokens.token_counts(docs, ["doc_id", "source", "lang"]), "p8-counts")
 
 
