@@ -47,14 +47,25 @@ class TreeEncoder:
         return [(e.ids, e.offsets) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.leaves(t) for t in texts]
-        done = iter(self.encode_leaves([p for ps in parts for p in ps]))
-        out = []
-        for t, ps in zip(texts, parts, strict=True):
-            coded = [(p, *next(done)) for p in ps]
-            out.append(self.concat(coded)[1] if len(coded) > 1 else coded[0][1])
+        out: list[list[int]] = [[]] * len(texts)
+        whole = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
+        for i, e in zip(whole, self.tok.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        for i, t in enumerate(texts):
+            if len(t) > self.leaf:
+                parts = self.leaves(t)
+                out[i] = self.concat([(p, *c) for p, c in zip(parts, self.encode_leaves(parts), strict=True)])[1]
         return out
 
+    def chunks(self, texts: list[str], chars: int = 200_000) -> Iterator[tuple[int, int, list[list[int]]]]:
+        """``(first, end, ids)`` of runs of about ``chars`` characters: what the tokenizer holds at once stays small."""
+        first, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t) + 50
+            if size >= chars or i + 1 == len(texts):
+                yield first, i + 1, self.encode(texts[first : i + 1])
+                first, size = i + 1, 0
+
     def concat(self, coded: list[tuple[str, list[int], list[tuple[int, int]]]]) -> tuple[str, list[int], list[tuple[int, int]]]:
         """Joins neighbours pairwise, level by level."""
         while len(coded) > 1:
@@ -119,8 +130,8 @@ def encode_corpus(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TreeEncoder(path, leaf_chars)
         for batch in batches:
-            ids = enc.encode(batch.column("t").to_pylist()) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(ids, pa.list_(pa.int32()))], names=["d", "ids"])
+            for a, b, ids in enc.chunks(batch.column("t").to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["d", "ids"])
 
     d_type = rows.schema["d"].dataType.simpleString()
     out = near.mapInArrow(whole, f"d {d_type}, ids array<int>")
@@ -171,7 +182,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", vocabulary:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TreeEncoder(path)
         for batch in batches:
-            n = [len(x) for x in enc.encode(batch.column("_text").to_pylist())] if batch.num_rows else []
+            n = [len(x) for _, _, ids in enc.chunks(batch.column("_text").to_pylist()) for x in ids]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     return rows.mapInArrow(count, schema)
