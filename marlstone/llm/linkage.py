@@ -28,8 +28,11 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     edges = written(edges.where("node is not null and hub is not null").distinct(), "edges")
     label = edges.select("node", F.col("node").alias("unit")).distinct()
     for _ in range(most):
-        hub = edges.join(label, "node").groupBy("hub").agg(F.min("unit").alias("unit"))
-        new = edges.join(hub, "hub").groupBy("node").agg(F.min("unit").alias("new"))
+        new = label
+        for _ in range(2):  # two steps a round: fewer jobs for the driver to plan and keep
+            hub = edges.join(new, "node").groupBy("hub").agg(F.min("unit").alias("unit"))
+            new = edges.join(hub, "hub").groupBy("node").agg(F.min("unit").alias("unit"))
+        new = new.withColumnRenamed("unit", "new")
         step = written(label.join(new, "node").select("node", F.least("unit", "new").alias("unit"), (F.col("new") < F.col("unit")).alias("moved")), "labels")
         label = step.select("node", "unit")
         if step.where("moved").isEmpty():
