@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
 from marlstone.operators.aggregates import hhi
+from marlstone.operators.joins import small
 from marlstone.operators.windows import breadth_change, change_flag, gap_markers, neighbourhood
 
 
@@ -35,7 +36,7 @@ def ownership_flags(panel: DataFrame) -> DataFrame:
 
 def vote_cells(cells: DataFrame, universe: DataFrame, lookup: DataFrame) -> DataFrame:
     """Votes per item and block: ``cells`` of items in the universe, blocks renamed by a small lookup, unknown ones ``__unlinked__``."""
-    c = cells.join(universe, "item", "left_semi").join(F.broadcast(lookup), "block", "left").withColumn("group", F.coalesce("group", F.lit("__unlinked__")))
+    c = cells.join(universe, "item", "left_semi").join(small(lookup), "block", "left").withColumn("group", F.coalesce("group", F.lit("__unlinked__")))
     known = F.count("weight")
     return c.groupBy("item", "group").agg(
         F.sum("n_for").alias("n_for"), F.sum("n_against").alias("n_against"), F.sum("n_abstain").alias("n_abstain"), F.when(known > 0, F.sum("weight")).alias("weight"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.joins import small
 from marlstone.operators.windows import cumulative_product
 
 
@@ -97,7 +98,7 @@ def best_quotes(quotes: DataFrame, delays: DataFrame, key: str, at: str, venue:
     quote; venues without a quote yet are left out of the best.  Each venue's last
     quote is carried over time buckets, so no key is sorted in one task.
     """
-    seen = quotes.join(F.broadcast(delays), venue).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")) + F.col("delay_us"))
+    seen = quotes.join(small(delays), venue).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")) + F.col("delay_us"))
     names = [r[0] for r in delays.select(venue).orderBy(venue).collect()]
     for i, v in enumerate(names):
         seen = seen.withColumn(f"_q{i}", F.when(F.col(venue) == v, F.struct(F.col("_t"), F.col(bid).alias("b"), F.col(ask).alias("a"))))
