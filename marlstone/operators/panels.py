@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars as S
 from marlstone.operators.aggregates import hhi
 from marlstone.operators.joins import small
-from marlstone.operators.windows import breadth_change, change_flag, gap_markers, neighbourhood
+from marlstone.operators.windows import change_flag, neighbourhood
 
 
 def ownership(holdings: DataFrame, denominators: DataFrame) -> DataFrame:
@@ -19,12 +19,22 @@ def ownership(holdings: DataFrame, denominators: DataFrame) -> DataFrame:
     concentration, entrants, leavers, change of breadth and the ratio follow from
     that, the ratio null where the total is not positive, never 0 for unknown.
     """
-    h = holdings.where("measure > 0").groupBy("holder", "entity", S.quarter_index("date").alias("q"), S.quarter_end("date").alias("period")).agg(F.sum("measure").alias("measure"))
-    p = h.groupBy("entity", "q", "period").agg(F.count("*").alias("numowners"), F.sum("measure").alias("io_total"), hhi("measure").alias("ioc_hhi"))
-    m = gap_markers(h, ["holder", "entity"], "q").groupBy("entity", "q").agg(F.count_if("is_first").alias("newinst"), F.count_if("is_last").alias("oldinst"))
-    b = breadth_change(h.select("holder", "entity", "q"), "entity", "holder", "q")
-    out = p.join(m, ["entity", "q"]).join(b, ["entity", "q"]).join(denominators, "entity", "left")
-    return out.withColumn("ior", S.ratio("io_total", "total"))
+    known = holdings.where("measure > 0 and holder is not null and entity is not null and date is not null").withColumn("q", S.quarter_index("date"))
+    h = known.groupBy("holder", "entity", "q").agg(F.sum("measure").alias("measure"))
+    # Entry and exit on the same rows as the sums: one pass over the reduced holdings gives everything per entity and quarter.
+    w = Window.partitionBy("holder", "entity").orderBy("q")
+    first, last = F.coalesce(F.col("q") - F.lag("q").over(w) > 1, F.lit(True)), F.coalesce(F.lead("q").over(w) - F.col("q") > 1, F.lit(True))
+    marked = h.select("entity", "q", "measure", first.alias("first"), last.alias("last"))
+    p = marked.groupBy("entity", "q").agg(
+        F.count("*").alias("numowners"), F.sum("measure").alias("io_total"), hhi("measure").alias("ioc_hhi"), F.count_if("first").alias("newinst"), F.count_if("last").alias("oldinst")
+    )
+    # All holders of a quarter: few pairs leave the scan, whatever the number of entities.
+    n = known.select("q", "holder").distinct().groupBy("q").agg(F.count("*").alias("_n"))
+    e = Window.partitionBy("entity").orderBy("q")
+    stay = (F.col("numowners") - F.col("newinst")) - F.lag(F.col("numowners") - F.col("oldinst")).over(e)
+    out = p.join(n, "q").withColumn("dbreadth", F.try_divide(stay, F.lag("_n").over(e))).drop("_n").join(denominators, "entity", "left")
+    period = F.last_day(F.make_date(F.expr("(q - 1) div 4").cast("int"), F.expr("((q - 1) % 4) * 3 + 3").cast("int"), F.lit(1)))
+    return out.withColumn("period", period).withColumn("ior", S.ratio("io_total", "total"))
 
 
 def ownership_flags(panel: DataFrame) -> DataFrame:
