@@ -418,7 +418,7 @@ def _(t):
     return W.winsorize(t("events"), "event_type", "value", 0.99, 10, "capped").select("event_id", F.round("capped", 6).alias("capped"))
 
 
-@R.on("win_rank_family", "SELECT c_custkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS q, round(cume_dist() OVER w, 6) AS c FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)")
+@R.on("win_rank", "SELECT c_custkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS q, round(cume_dist() OVER w, 6) AS c FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)")
 def _(t):
     """Extension: rank, dense_rank, ntile and cume_dist are in no program of the reference."""
     w = Window.partitionBy("c_mktsegment").orderBy("c_nationkey")

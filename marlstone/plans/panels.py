@@ -251,10 +251,35 @@ def _(t):
     return RD.jdbc(t.spark, url, q, ("n_nationkey", 0, 25, 3), driver="org.apache.derby.jdbc.EmbeddedDriver")
 
 
-@R.on("src_text_header", "SELECT own_row % 50 AS k, count(*) AS n FROM own_rows WHERE own_row < 0 GROUP BY 1")
+@R.on("src_text_header", "SELECT feed AS accession, CAST(trust_rank AS VARCHAR) AS form_type FROM feeds")
 def _(t):
-    """Nothing to read in the test tables; header bytes are covered by a fixture of files."""
-    return t("own_rows").where("own_row < 0").groupBy((F.col("own_row") % 50).alias("k")).agg(F.count("*").alias("n"))
+    """One file per feed with a header, of which the first bytes are read back."""
+    path = _place(t, "headers")
+    head = F.concat(F.lit("ACCESSION NUMBER: "), "feed", F.lit("\nCONFORMED SUBMISSION TYPE: "), "trust_rank", F.lit("\n</SEC-HEADER>\n"), F.repeat(F.lit("body "), 3000))
+    t("feeds").select(head.alias("value"), F.col("feed").alias("part")).write.partitionBy("part").text(path)
+    got = RD.header_bytes(t.spark, path + "/*/*.txt")
+    return got.select(F.regexp_extract("head", r"ACCESSION NUMBER: (\S+)", 1).alias("accession"), F.regexp_extract("head", r"SUBMISSION TYPE: (\S+)", 1).alias("form_type"))
+
+
+@R.on("src_xlsx", "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
+def _(t):
+    """A workbook made of the table's rows under a title line, read by its header."""
+
+    @F.udf("binary")
+    def workbook(rows):
+        import io
+        import zipfile
+
+        cell = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+        lines = [["A report of regions"], ["r_regionkey", "", "r_name"], *[[k, "", n] for k, n in rows]]
+        body = "".join("<row>" + "".join(cell("ABC"[j] + str(i + 1), v) for j, v in enumerate(line) if v) + "</row>" for i, line in enumerate(lines))
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+        return buf.getvalue()
+
+    rows = t("region").agg(F.collect_list(F.struct(F.col("r_regionkey").cast("string"), "r_name")).alias("rows"))
+    return RD.workbooks(rows.select(F.lit("regions.xlsx").alias("path"), workbook("rows").alias("content")), 1, ["r_regionkey", "r_name"]).drop("path")
 
 
 @R.on("src_sgml_docs", "SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 'DEF14A' ELSE 'EX-99' END AS type FROM documents, (VALUES (0), (1)) v(pos)")

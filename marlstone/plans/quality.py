@@ -67,6 +67,20 @@ def _(t):
     return Q.matrix(_mixed(t), Q.declaration("pk: own_row; freetext: holder_name"), Q.coverage_window("filing_date: 2012-01-01..2020-12-31"))
 
 
+@R.on("dq_trace", "SELECT * FROM (VALUES ('DQ4', 'MODEL-EVALUATED', 'needs a judgement'), ('DQ6', 'MODEL-EVALUATED', 'needs a judgement')) v(rule, status, detail)")
+def _(t):
+    """Tracing to sources and before-and-after comparisons need a judgement: always listed, never passed."""
+    return Q.matrix(t("region"), Q.Declaration()).where("rule in ('DQ4', 'DQ6')")
+
+
+@R.on("dq_keys_grammar", "SELECT * FROM (VALUES ('pk', 'a,b'), ('event', 'c'), ('sparse', 'x'), ('freetext', ''), ('constant', 'z'), ('window', 'd 2020-01-01 2020-12-31')) v(part, columns)")
+def _(t):
+    """What the two small grammars read."""
+    d, w = Q.declaration("pk: a, b; event: c; sparse: x; constant: z"), Q.coverage_window("d: 2020-01-01..2020-12-31")
+    rows = [(k, ",".join(getattr(d, k))) for k in ("pk", "event", "sparse", "freetext", "constant")] + [("window", f"{w.column} {w.first} {w.last}")]
+    return t.spark.createDataFrame(rows, "part string, columns string")
+
+
 @R.on("dq_declaration_gaps")
 def _(t):
     return Q.declaration_gaps(Q.matrix(_mixed(t), Q.declaration("pk: own_row; freetext: holder_name")))

@@ -115,7 +115,12 @@ def submission(df: DataFrame, text: str) -> DataFrame:
 
 
 def xlsx(spark: SparkSession, path: str, sheet: int, header: list[str]) -> DataFrame:
-    """Rows of one sheet of each workbook as strings, taken for the right one by its header row's content, not by a file name.
+    """:func:`workbooks` of the files at ``path``."""
+    return workbooks(spark.read.format("binaryFile").load(path), sheet, header)
+
+
+def workbooks(files: DataFrame, sheet: int, header: list[str]) -> DataFrame:
+    """Rows of one sheet of each workbook (``path, content``) as strings, taken for the right one by its header row's content, not by a file name.
 
     Columns are those of ``header``, in that order wherever they stand; rows above the header row are left out.
     Workbooks without such a row give none.
@@ -135,8 +140,7 @@ def xlsx(spark: SparkSession, path: str, sheet: int, header: list[str]) -> DataF
                     out += [[p, *(r[i] if i < len(r) and r[i] != "" else None for i in where)] for r in rows[at + 1 :] if any(r)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * len(fields))], names=fields)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, ", ".join(f"`{f}` string" for f in fields))
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"`{f}` string" for f in fields))
 
 
 def _sheet(content: bytes, sheet: int) -> list[list[str]]:
