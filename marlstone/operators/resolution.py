@@ -49,6 +49,8 @@ def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str
     pairs are sought within equal scopes only, under the same weights.  ``only``:
     the left ids to look up, if not all; the weights stay those of all names.
     """
+    # Written once, with a short number for each row: pairs are summed up by numbers, not by long ids.
+    left, right = (written(d.withColumn("_n", F.monotonically_increasing_id()), "names") for d in (left, right))
     vl, vr = (written(v, "vectors") for v in gram_vectors(left, right))
     if only is not None:
         vl = vl.join(only, "id", "left_semi")
@@ -58,18 +60,25 @@ def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str
     start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<struct<w:double,g:string>>").alias("out"))
     probe = F.aggregate("vec", start, step, lambda acc: acc["out"])
     extra = [scope] if scope else []
-    pl = vl.select(F.col("id").alias("left_id"), *extra, F.explode(probe).alias("p")).select("left_id", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wl"))
-    pr = vr.select(F.col("id").alias("right_id"), *extra, F.explode("vec").alias("p")).select("right_id", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wr"))
+    pl = vl.select(F.col("_n").alias("nl"), *extra, F.explode(probe).alias("p")).select("nl", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wl"))
+    pr = vr.select(F.col("_n").alias("nr"), *extra, F.explode("vec").alias("p")).select("nr", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wr"))
     # Few bytes make many pairs: a fixed number of partitions, which adaptive execution does not merge by size.
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pl, pr = pl.repartition(n, "g", *extra), pr.repartition(n, "g", *extra)
-    part = pl.join(pr, ["g", *extra]).groupBy("left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"), F.sum(F.col("wr") * F.col("wr")).alias("r"))
+    part = pl.join(pr, ["g", *extra]).groupBy("nl", "nr").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"), F.sum(F.col("wr") * F.col("wr")).alias("r"))
     # What the grams not looked up can still add is at most the product of both rests.
     most = F.col("s") + floor * probe_part * F.sqrt(F.greatest(1 - F.col("r"), F.lit(0.0)))
-    pairs = part.where(most >= floor * 0.999999).select("left_id", "right_id")
+    pairs = part.where(most >= floor * 0.999999).select("nl", "nr", "s")
+    # The sum over the grams looked up is exact; only the left vector's rest is still to add, over the grams both sides have.
     asmap = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["g"], x["w"])))
-    full = pairs.join(vl.select(F.col("id").alias("left_id"), F.col("vec").alias("a")), "left_id").join(vr.select(F.col("id").alias("right_id"), asmap.alias("b")), "right_id")
-    score = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at(F.col("b"), x["g"]), F.lit(0.0)))
+    grams_of = lambda v: F.transform(v, lambda x: x["g"])
+    rest = F.slice("vec", F.size(probe) + 1, F.greatest(F.size("vec") - F.size(probe), F.lit(1)))
+    rest = F.when(F.size(probe) < F.size("vec"), grams_of(rest)).otherwise(F.array().cast("array<string>"))
+    a = vl.select(F.col("_n").alias("nl"), F.col("id").alias("left_id"), rest.alias("rest"), asmap.alias("a"))
+    b = vr.select(F.col("_n").alias("nr"), F.col("id").alias("right_id"), grams_of(F.col("vec")).alias("all"), asmap.alias("b"))
+    full = pairs.join(a, "nl").join(b, "nr")
+    common = F.array_intersect("rest", "all")
+    score = F.col("s") + F.aggregate(common, F.lit(0.0), lambda acc, g: acc + F.try_element_at(F.col("a"), g) * F.try_element_at(F.col("b"), g))
     scored = full.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= floor)
     return top(scored, ["left_id"], [F.desc("score"), F.asc("right_id")], k).drop("rn")
 
