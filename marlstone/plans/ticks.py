@@ -94,23 +94,23 @@ def _(t):
 
 def _spliced(t):
     daily = t("events").groupBy(F.col("user_id").alias("key"), F.col("ts").cast("date").alias("date")).agg(
-        F.round(F.avg("value"), 4).alias("price"), ((F.count("*") - 3) / 100.0).alias("ret"), F.max("value").alias("cap")
+        F.round(F.sum("value"), 2).alias("price"), ((F.count("*") - 3) / 97.0).alias("ret"), F.max("value").alias("cap")
     )
     vendor = daily.select(F.concat(F.lit("c"), "key").alias("code"), "date", F.round(F.col("price") * 2, 4).alias("price"), "ret")
     links = daily.select("key").distinct().select("key", F.concat(F.lit("c"), "key").alias("code"), (F.col("key") % 5 != 0).alias("usable"))
     return T.splice(daily, vendor, links, "2024-01-15"), links
 
 
-_SPLICE = """WITH d AS (SELECT user_id AS k, CAST(ts AS DATE) AS d, round(avg(value), 4) AS p, (count(*) - 3) / 100.0 AS r, max(value) AS c FROM events GROUP BY 1, 2),
+_SPLICE = """WITH d AS (SELECT user_id AS k, CAST(ts AS DATE) AS d, round(sum(value), 2) AS p, (count(*) - 3) / 97.0 AS r, max(value) AS c FROM events GROUP BY 1, 2),
     a AS (SELECT k, p AS p0, c AS c0, round(p * 2, 4) AS v0 FROM d WHERE d = DATE '2024-01-15' AND k % 5 <> 0),
     n AS (SELECT d.k, d.d, a.p0 * exp(sum(ln(1 + r)) OVER (PARTITION BY d.k ORDER BY d.d)) AS p, r, c0 * round(d.p * 2, 4) / v0 AS c, p0 / v0 AS ratio FROM d JOIN a USING (k) WHERE d.d > DATE '2024-01-15'),
     s AS (SELECT k, d, p, r, c, NULL AS ratio, 'base' AS source FROM d WHERE d <= DATE '2024-01-15' UNION ALL SELECT k, d, p, r, c, ratio, 'vendor' FROM n)"""
 
 
-@R.on("ts_splice", _SPLICE + " SELECT k AS \"key\", d AS \"date\", round(p, 4) AS price, round(r, 4) AS ret, round(c, 4) AS cap, round(ratio, 4) AS adj_ratio, source FROM s")
+@R.on("ts_splice", _SPLICE + " SELECT k AS \"key\", d AS \"date\", round(p, 6) AS price, round(r, 6) AS ret, round(c, 6) AS cap, round(ratio, 6) AS adj_ratio, source FROM s")
 def _(t):
     s, _ = _spliced(t)
-    return s.select("key", "date", *[F.round(c, 4).alias(c) for c in ("price", "ret", "cap", "adj_ratio")], "source")
+    return s.select("key", "date", *[F.round(c, 6).alias(c) for c in ("price", "ret", "cap", "adj_ratio")], "source")
 
 
 @R.on(
