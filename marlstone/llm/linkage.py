@@ -69,22 +69,23 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("fx"), batch.column("fy"), pa.array(near, pa.bool_())], names=["fx", "fy", "near"])
 
 
-def described(raw: DataFrame, who: str) -> tuple[DataFrame, DataFrame]:
-    """Per entity: ``(who, form, n)`` of its titles' forms, and one row of its other attributes.
+def described(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of both sides at once: ``(side, who, form, n)`` of titles' forms, one row of other attributes each, and the forms.
 
-    ``raw``: ``who, title, manager, objective, n, log_sum, log_n, first, last``, pre-aggregated.
+    ``raw``: ``side, who, title, manager, objective, n, log_sum, log_n, first, last``, pre-aggregated.
     """
-    titles = raw.where(F.col("title").rlike(r"\S")).groupBy("title").agg(F.first("title").alias("_t")).select("title")
+    titles = raw.where(F.col("title").rlike(r"\S")).select("title").distinct()
     known = written(titles.mapInArrow(_titles, "title string, l string, a string, s string, keys array<string>"), "titles").where("l != ''")
     form = F.xxhash64("l", "a", "s")
-    by = raw.groupBy(who, "title").agg(F.sum("n").alias("n")).join(known, "title").groupBy(who, form.alias("form")).agg(F.sum("n").alias("n"))
+    by = raw.groupBy("side", "who", "title").agg(F.sum("n").alias("n")).join(known, "title").groupBy("side", "who", form.alias("form")).agg(F.sum("n").alias("n"))
     forms = known.groupBy(form.alias("form"), "l", "a", "s").agg(F.first("keys").alias("keys"))
     firms = raw.where("manager is not null").select("manager").distinct().mapInArrow(_firms, "manager string, family string").where("family != ''")
-    families = raw.groupBy(who, "manager").agg(F.sum("n").alias("n")).join(firms, "manager").groupBy(who).agg(F.collect_set("family").alias("families"))
-    objective = raw.where("objective is not null").groupBy(who, "objective").agg(F.sum("n").alias("n"))
-    objective = objective.groupBy(who).agg(F.max_by("objective", F.struct("n", "objective")).alias("objective"))
-    size = raw.groupBy(who).agg((F.sum("log_sum") / F.sum("log_n")).alias("log_size"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return by, size.join(families, who, "left").join(objective, who, "left"), forms
+    families = raw.select("side", "who", "manager").distinct().join(firms, "manager").groupBy("side", "who").agg(F.collect_set("family").alias("families"))
+    objective = raw.where("objective is not null").groupBy("side", "who", "objective").agg(F.sum("n").alias("n"))
+    objective = objective.groupBy("side", "who").agg(F.max_by("objective", F.struct("n", "objective")).alias("objective"))
+    size = raw.groupBy("side", "who").agg((F.sum("log_sum") / F.sum("log_n")).alias("log_size"), F.min("first").alias("first"), F.max("last").alias("last"))
+    about = size.join(families, ["side", "who"], "left").join(objective, ["side", "who"], "left")
+    return written(by, "forms-of"), written(about, "about"), forms
 
 
 def link_funds(left: DataFrame, right: DataFrame, most: int = 1) -> DataFrame:
@@ -106,10 +107,14 @@ def link_funds(left: DataFrame, right: DataFrame, most: int = 1) -> DataFrame:
     never rows.  Null attributes abstain, repeated rows weigh in counts only,
     empty inputs give an empty result.
     """
-    lf, la, lforms = described(left, "fund")
-    rf, ra, rforms = described(right, "unit")
-    x = lforms.select(F.col("form").alias("fx"), F.col("l").alias("lx"), F.col("a").alias("ax"), F.col("s").alias("sx"), F.explode("keys").alias("key"))
-    y = rforms.select(F.col("form").alias("fy"), F.col("l").alias("ly"), F.col("a").alias("ay"), F.col("s").alias("sy"), F.explode("keys").alias("key"))
+    cols = ["title", "manager", "objective", "n", "log_sum", "log_n", "first", "last"]
+    both = left.select(F.lit(0).alias("side"), F.col("fund").alias("who"), *cols).unionByName(right.select(F.lit(1).alias("side"), F.col("unit").alias("who"), *cols))
+    by, about, forms = described(both)
+    lf, rf = (by.where(f"side = {i}").select(F.col("who").alias(n), "form", "n") for i, n in enumerate(("fund", "unit")))
+    la, ra = (about.where(f"side = {i}").withColumnRenamed("who", n).drop("side") for i, n in enumerate(("fund", "unit")))
+    of = by.groupBy("form").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    keyed = written(forms.join(of, "form").select("form", "l", "a", "s", "lo", "hi", F.explode("keys").alias("key")), "keys")
+    x, y = (keyed.where(w).select("key", *[F.col(c).alias(("f" if c == "form" else c) + i) for c in ("form", "l", "a", "s")]) for w, i in (("lo = 0", "x"), ("hi = 1", "y")))
     met = x.join(y, "key").drop("key").dropDuplicates(["fx", "fy"])
     near = met.where("fx != fy").mapInArrow(_likeness, "fx bigint, fy bigint, near boolean")
     rel = near.select("fx", "fy", F.when(F.col("near"), 1).otherwise(0).alias("rel")).unionByName(met.where("fx = fy").select("fx", "fy", F.lit(2).alias("rel")))
