@@ -68,20 +68,16 @@ class Decoder:
     """Restores disguised words: Viterbi paths through the lattice of what each character may stand for.
 
     A sign may stand for letters it looks like, a star for any letter, a repeated
-    letter for one or two, spaced single letters for a word.  Paths are weighed by a
-    character trigram model of the corpus, mixed with the words looked for, and the
-    cost of each disguise; the written form competes as it stands.
+    letter for one or two, a gap between spaced letters for nothing or for the end of
+    a word.  Paths are weighed by a character trigram model of the corpus, mixed with
+    the words looked for, and the cost of each disguise; the written form competes as
+    it stands.
     """
 
     def __init__(self, counts: np.ndarray, words: list[str], mix: float = 0.2):
-        own = np.zeros(CELLS)
-        for w in words:
-            c = _codes(_ascii(w))
-            np.add.at(own, c[:-2] * 729 + c[1:-1] * 27 + c[2:], 1.0)
-        corpus = counts.reshape(729, 27) + 0.05
-        wanted = own.reshape(729, 27) + 0.002
-        p = (1 - mix) * corpus / corpus.sum(1, keepdims=True) + mix * wanted / wanted.sum(1, keepdims=True)
-        self.cost = (-np.log(p)).reshape(27, 27, 27).tolist()
+        self.cost = self._model(counts, words, mix)
+        #: Of spaced letters more is lost than of other disguises: here all words of the patterns weigh in.
+        self.run_cost = self._model(counts, sorted({*words, *_pattern_words()}), 0.5)
         self.words = {_ascii(w) for w in words}
         self.by_length: dict[int, list[str]] = {}
         self.by_single: dict[str, list[str]] = {}
@@ -90,7 +86,19 @@ class Decoder:
             self.by_single.setdefault(re.sub(r"(.)\1+", r"\1", w), []).append(w)
         self.decode = lru_cache(maxsize=1 << 17)(self._decode)
 
-    def viterbi(self, lattice: list[list[tuple[str, float]]]) -> tuple[str, float]:
+    @staticmethod
+    def _model(counts: np.ndarray, words: list[str], mix: float) -> list:
+        own = np.zeros(CELLS)
+        for w in words:
+            c = _codes(_ascii(w))
+            np.add.at(own, c[:-2] * 729 + c[1:-1] * 27 + c[2:], 1.0)
+        corpus = counts.reshape(729, 27) + 0.05
+        wanted = own.reshape(729, 27) + 0.002
+        p = (1 - mix) * corpus / corpus.sum(1, keepdims=True) + mix * wanted / wanted.sum(1, keepdims=True)
+        return (-np.log(p)).reshape(27, 27, 27).tolist()
+
+    def viterbi(self, lattice: list[list[tuple[str, float]]], model: list | None = None) -> tuple[str, float]:
+        p = model or self.cost
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for options in lattice:
             new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -99,12 +107,12 @@ class Decoder:
                     x, y, c = a, b, cost + extra
                     for ch in letters:
                         k = _CODE.get(ch, 0)
-                        c += self.cost[x][y][k] + (6.0 if k == 0 else 0.0)
+                        c += p[x][y][k] + (6.0 if k == 0 and not ch.isspace() else 0.0)
                         x, y = y, k
                     if (x, y) not in new or c < new[x, y][0]:
                         new[x, y] = (c, text + letters)
             best = new
-        cost, text = min((c + self.cost[a][b][0], t) for (a, b), (c, t) in best.items())
+        cost, text = min((c + p[a][b][0], t) for (a, b), (c, t) in best.items())
         return text, cost
 
     def _decode(self, token: str) -> str:
@@ -153,23 +161,48 @@ class Decoder:
         _, cost = self.viterbi([[(c, 0.0)] for c in token])
         return cost / (len(token) + 1) < 2.05
 
-    _SPACED = re.compile(r"(?<![\w'])(?:[a-z0-9@$!][ .\-_]{1,2}){2,}[a-z0-9@$!](?![\w'])")
+    _SIGN = r"[a-zß-ÿ0-9@$!]"
+    _GAP = r"[\s.,_\-/~·•]"
+    _SPACED = re.compile(rf"(?<![\w'’]){_SIGN}{_GAP}+(?:{_SIGN}{{1,2}}{_GAP}+)+{_SIGN}{{1,2}}(?![\w'’])")
+    _PIECES = re.compile(rf"({_GAP}+)")
     _TOKEN = re.compile(r"[^\s,;:?\"“”()<>/\[\]]+")
 
+    def _join(self, run: str) -> str:
+        """The likeliest words behind a run of spaced letters; each gap, however wide, is nothing or a word's end."""
+        parts = self._PIECES.split(run)
+        pieces, gaps = parts[::2], parts[1::2]
+        glued, seen = "".join(pieces), ""
+        if sum(len(p) == 1 for p in pieces) < 3 or sum(c in _LEET for c in glued) >= sum(c not in _LEET for c in glued):
+            return run
+        least, most = min(map(len, gaps)), max(map(len, gaps))
+        lattice: list[list[tuple[str, float]]] = []
+        for i, (piece, gap) in enumerate(zip(pieces, [*gaps, ""], strict=True)):
+            for ch in piece:
+                options = [(x, 1.0) for x in _LEET[ch]] if ch in _LEET else []
+                options.append((_ascii(ch), 0.0))
+                if seen[-1:] == ch:
+                    options.append(("", 0.3 if seen[-2:] == ch * 2 else 4.0))
+                lattice.append(options)
+                seen += ch
+            if gap:
+                # A gap wider than the others, or beside two letters that stand together, is rather a word's end; a full stop in it ends the sentence too.
+                wide, beside = len(gap) > least, len(piece) > 1 or len(pieces[i + 1]) > 1
+                end = "\n" if re.search(r"\.\s", gap) else " "
+                lattice.append([("", 6.0 if wide else 0.0), (end, 0.0 if wide else 1.0 if beside else 2.0 if least == most else 4.0)])
+        text = self.viterbi(lattice, self.run_cost)[0].replace("\n", ". ")
+        if not self.words.intersection(re.findall(r"\w+", text)):
+            # A word looked for with a slip in it; a lone article or pronoun may stand before or after it.
+            for head, core, tail in (("", glued, ""), (glued[:1] + " ", glued[1:], ""), ("", glued[:-1], " " + glued[-1:])):
+                if len(core) >= 3 and (word := self.decode(core)) in self.words:
+                    return head + word + tail
+        return text
+
     def restore(self, text: str) -> str:
         t = unicodedata.normalize("NFKC", html.unescape(text)).lower()
         t = re.sub(r"[​-‏﻿­]|<[^<>]{1,40}>", "", t)
         t = re.sub(r"\w*[Ͱ-ӿ]\w*", lambda m: m.group(0).translate(_HOMOGLYPHS) if re.search(r"[a-z]", m.group(0).translate(_HOMOGLYPHS)) else m.group(0), t)
 
-        def spaced(m: re.Match) -> str:
-            s = re.sub(r"[ .\-_]", "", m.group(0))
-            # A lone article or pronoun may stand before or after the spaced word.
-            for head, core, tail in (("", s, ""), (s[:1] + " ", s[1:], ""), ("", s[:-1], " " + s[-1:])):
-                if len(core) >= 3 and (word := self.decode(core)) in self.words:
-                    return head + word + tail
-            return m.group(0)
-
-        t = self._SPACED.sub(spaced, t)
+        t = self._SPACED.sub(lambda m: self._join(m.group(0)), t)
 
         def one(m: re.Match) -> str:
             s = m.group(0)
@@ -265,6 +298,11 @@ _HOT = re.compile("|".join(p.pattern for _, _, p in PATTERNS))
 WORDS = sorted({*INSULTS, *SEXUAL, *DEHUMAN, *_PLAIN_WORDS})
 
 
+def _pattern_words() -> set[str]:
+    """The plain words that stand in the patterns."""
+    return {w for _, _, p in PATTERNS for w in re.findall(r"[a-z]{2,}", re.sub(r"\\[a-zA-Z]", " ", p.pattern))}
+
+
 def score_restored(text: str) -> dict[str, float]:
     """The highest sum of weights of any sentence, by category."""
     best = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}

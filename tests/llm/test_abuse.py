@@ -62,3 +62,22 @@ def test_against_reviewers(spark):
     right = np.mean([got[d] == y for d, y in agreed.items()])
     flagged = [y for d, y in agreed.items() if got[d]]
     assert right > 0.93 and np.mean(flagged) > 0.95
+
+
+@pytest.mark.parametrize(
+    "text,words",
+    [
+        ("s h u t u p", "shut up"), ("s  h  u  t  u  p", "shut up"), ("s h u t   u p now", "shut up now"), ("you m o r o ns", "moron"), ("b i t c hs", "bitch"), ("n u d e   c a m s", "nude cams"),
+        ("n i c e  l i p s", "nice lips"), ("k y s", "kys"), ("p.o.r.n", "porn"), ("5 h u t  u p", "shut up"), ("i d i i i o t", "idiot"), ("k i l l y o u r s e l f", "kill yourself"), ("an i d i o t to me", "an idiot to me"),
+    ],
+)
+def test_spaced(decoder, text, words):
+    assert words in decoder.restore(text)
+
+
+def test_spaced_sentences(decoder):
+    """A restored phrase stays one sentence; runs that are no words are left as they stand."""
+    top = lambda t: max(abuse.score_restored(decoder.restore(t)).values())
+    assert top("p i e c e   o f   s h i t") >= 1 and top("s e x   t a p e s") >= 1
+    for text in ("i am 74 and vote", "3, as in 2016", "| 2 | 1 | 40 |"):
+        assert decoder.restore(text) == text
