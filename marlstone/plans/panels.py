@@ -11,6 +11,7 @@ from marlstone.operators import dedup as D
 from marlstone.operators import documents as DOC
 from marlstone.operators import joins as J
 from marlstone.operators import panels as P
+from marlstone.operators.references import canonical_id
 from marlstone.plans.registry import Registry
 from marlstone.session import shared_dir
 from marlstone.sources import readers as RD
@@ -86,7 +87,7 @@ def _(t):
 
 
 def _cells(t):
-    c = t("npx_cells").select(F.trim("itemonagendaid").try_cast("long").alias("item"), "block", "n_for", "n_against", "n_abstain", F.col("tna_for").alias("weight"))
+    c = t("npx_cells").select(canonical_id("itemonagendaid").try_cast("long").alias("item"), "block", "n_for", "n_against", "n_abstain", F.col("tna_for").alias("weight"))
     universe = t("meetings").where("itemonagendaid > 0").select(F.col("itemonagendaid").alias("item"))
     lookup = t.spark.createDataFrame([("index", "passive"), ("quant", "passive"), ("active", "active"), ("hedge", "active")], "block string, group string")
     return P.vote_cells(c, universe, lookup)

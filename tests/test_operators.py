@@ -310,3 +310,21 @@ def test_xlsx(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(buf.getvalue())
     got = RD.xlsx(spark, str(tmp_path / "b.xlsx"), 1, ["name", "id"]).select("name", "id").collect()
     assert [tuple(r) for r in got] == [("x", "7"), ("y", None)]
+
+
+def test_vote_cells_ids(spark):
+    """Every way an id is written counts: blanks, leading zeros and a ``.0`` tail too."""
+    from marlstone.plans import panels
+
+    class Given:
+        def __init__(self):
+            self.spark = spark
+
+        def __call__(self, name):
+            if name == "meetings":
+                return spark.createDataFrame([(1234567890,), (7,), (0,)], "itemonagendaid long")
+            rows = [("1234567890", 1), (" 1234567890 ", 10), ("1234567890.0", 100), ("001234567890", 1000), ("7.0", 5), ("0.0", 9), ("", 9), (None, 9), ("x.0", 9)]
+            return spark.createDataFrame([(i, "index", n, 0, 0, float(n)) for i, n in rows], "itemonagendaid string, block string, n_for long, n_against long, n_abstain long, tna_for double")
+
+    got = {r["item"]: (r["n_for"], r["weight"]) for r in panels._cells(Given()).collect()}
+    assert got == {1234567890: (1111, 1111.0), 7: (5, 5.0)}
