@@ -112,8 +112,8 @@ def best_margin(scored: DataFrame, unit: DataFrame) -> DataFrame:
 
 
 def accept(df: DataFrame, margin: float = 0.02, unique: float = 0.97) -> DataFrame:
-    """Global acceptance: a clear margin, and the families agree or a unique name fits almost exactly.  Needs ``verdict, n_same_name``."""
-    return df.where((F.col("margin") >= margin) & ((F.col("verdict") == "agree") | ((F.col("score") >= unique) & (F.col("n_same_name") == 1))))
+    """Global acceptance: a clear margin, and the families agree, the scope backs the name, or a unique name fits almost exactly.  Needs ``verdict, n_same_name``."""
+    return df.where((F.col("margin") >= margin) & (F.col("verdict").isin("agree", "backed") | ((F.col("score") >= unique) & (F.col("n_same_name") == 1))))
 
 
 def scope_support(accepted: DataFrame, left_scope: DataFrame, right_scope: DataFrame) -> DataFrame:
@@ -122,6 +122,43 @@ def scope_support(accepted: DataFrame, left_scope: DataFrame, right_scope: DataF
     return s.withColumn("support", F.col("n") / F.sum("n").over(Window.partitionBy("scope_l"))).drop("n")
 
 
+def judged(cand: DataFrame, support: DataFrame | None = None) -> DataFrame:
+    """``cand`` (``left_id, unit, score, scope_l, scope_r, families``) with ``support`` and ``verdict``; no support given: none is known yet."""
+    if support is None:
+        c = cand.withColumn("support", F.lit(0.0))
+    else:
+        c = cand.join(support.select("scope_l", "scope_r", "support"), ["scope_l", "scope_r"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+    return c.withColumn("verdict", family_verdict(F.col("families"), F.col("unit"), F.col("score"), F.col("support")))
+
+
+def accept_global(verdicts: DataFrame, anywhere: float = 0.85) -> DataFrame:
+    """The best unit of each left id among judged candidates of at least ``anywhere``, where :func:`accept` takes it."""
+    over = verdicts.where(F.col("score") >= anywhere)
+    best = best_margin(over.select("left_id", F.col("unit").alias("right_id"), "score"), over.select(F.col("unit").alias("right_id"), "unit").distinct())
+    return accept(best.join(over.drop("score"), ["left_id", "unit"]))
+
+
+def scope_bootstrap(cand: DataFrame, scoped: float = 0.8, anywhere: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Links in two passes, and the scope support between them.
+
+    ``cand``: one row per ``left_id, unit`` with ``score, scope_l, scope_r, families, n_same_name``.  The first pass
+    accepts anywhere; its links tell which scopes belong together.  The second takes what is left: the best unit
+    within those scopes first, then anywhere again, with the support known.
+
+    Returns ``left_id, unit, score, tier, pass`` (one row per left id) and ``scope_l, scope_r, support``.
+    """
+    cols = ["left_id", "unit", "score", "scope_l", "scope_r"]
+    first = written(accept_global(judged(cand), anywhere).select(*cols), "links")
+    support = written(scope_support(first.select("left_id", "unit"), first.select("left_id", "scope_l"), first.select("unit", "scope_r").distinct()), "support")
+    links = lambda d, tier, n: d.select("left_id", "unit", "score", F.lit(tier).alias("tier"), F.lit(n).alias("pass"))
+    rest = cand.join(first.select("left_id"), "left_id", "left_anti")
+    inside = rest.where(F.col("score") >= scoped).join(support.select("scope_l", "scope_r"), ["scope_l", "scope_r"], "left_semi")
+    inside = written(first_of(inside, ["left_id"], [F.desc("score"), F.asc("unit")]).select(*cols), "links")
+    rest = rest.join(inside.select("left_id"), "left_id", "left_anti")
+    out = links(first, "global", 1).unionByName(links(inside, "scoped", 2)).unionByName(links(accept_global(judged(rest, support), anywhere), "global", 2))
+    return out, support
+
+
 def tier_ladder(tiers: list[tuple[str, DataFrame]]) -> DataFrame:
     """``left_id, unit, tier`` of the first tier that links a left id; within a tier the highest score, then the lower unit."""
     stacked = reduce(DataFrame.unionByName, [t.select("left_id", "unit", "score", F.lit(i).alias("step"), F.lit(n).alias("tier")) for i, (n, t) in enumerate(tiers)])

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars as S
 from marlstone.operators import resolution as E
 from marlstone.plans.registry import Registry
+from marlstone.session import written
 
 R = Registry()
 
 
+def _title():
+    return F.regexp_replace(F.regexp_replace("fund_name", r"^[^:]*: ", ""), r"(?: - Class .*|; .*|/[^/]*)$", "")
+
+
 def _names(t):
     """Distinct normalised names of both sides, as (id, name, scope); the scope is the first letter."""
     left = t("split_s12").where("fundname is not null").select("fundname").distinct().select(S.normalize_name("fundname").alias("name")).where("name != ''").distinct()
-    title = F.regexp_replace(F.regexp_replace("fund_name", r"^[^:]*: ", ""), r"(?: - Class .*|; .*|/[^/]*)$", "")
-    right = t("portnomap").where("fund_name is not null").select("fund_name").distinct().select(S.normalize_name(title).alias("name")).where("name != ''").distinct()
+    right = t("portnomap").where("fund_name is not null").select("fund_name").distinct().select(S.normalize_name(_title()).alias("name")).where("name != ''").distinct()
     side = lambda d: d.select(F.col("name").alias("id"), "name", F.substring("name", 1, 1).alias("scope"))
     return side(left), side(right)
 
@@ -72,17 +76,26 @@ def _(t):
     return got.select("left_id", "right_id", E.digit_guard("left_id", "right_id").alias("passes"))
 
 
-def _verdicts(t):
+def _candidates(t):
+    """Scored pairs with what the passes need; a name is unique if one portfolio (else fund) bears it on the right side."""
     left, right = _names(t)
-    got = E.similar(left, right, 0.7, 5)
+    got = E.similar(left, right, 0.7, 5).withColumnRenamed("right_id", "unit")
     stop = ["FUND", "FUNDS", "GROWTH", "EQUITY", "INDEX", "BOND", "INCOME", "SERIES", "TARGET", "CAPITAL", "VALUE", "MARKET", "MARKETS", "INTERNATIONAL", "RETIREMENT"]
-    verdict = E.family_verdict(S.family_tokens("left_id", stop), F.col("right_id"), F.col("score"), F.lit(0.0))
-    return got.withColumn("verdict", verdict)
+    bearer = F.coalesce(F.col("crsp_portno"), -F.col("crsp_fundno"), F.lit(0))
+    same = t("portnomap").where("fund_name is not null").groupBy(S.normalize_name(_title()).alias("unit")).agg(F.countDistinct(bearer).alias("n_same_name"))
+    head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    return written(got.join(same, "unit").select("*", head("left_id").alias("scope_l"), head("unit").alias("scope_r"), S.family_tokens("left_id", stop).alias("families")), "candidates")
+
+
+def _verdicts(t):
+    cand = _candidates(t)
+    _, support = E.scope_bootstrap(cand)
+    return E.judged(cand, support)
 
 
 @R.on("er_family_verdict")
 def _(t):
-    return _verdicts(t).select("left_id", "right_id", "verdict")
+    return _verdicts(t).select("left_id", F.col("unit").alias("right_id"), "verdict")
 
 
 @R.on(
@@ -98,27 +111,16 @@ def _(t):
     return E.best_margin(E.similar(left, right, 0.5, 100000), unit).select("left_id", "unit", F.round("score", 5).alias("score"), F.round("margin", 4).alias("margin"))
 
 
-def _accepted(t):
-    v = _verdicts(t)
-    _, right = _names(t)
-    unit = right.select(F.col("id").alias("right_id"), F.col("name").alias("unit"))
-    best = E.best_margin(v.select("left_id", "right_id", "score"), unit)
-    says = v.select("left_id", F.col("right_id").alias("unit"), "verdict")
-    return E.accept(best.join(says, ["left_id", "unit"]).withColumn("n_same_name", F.lit(1)))
-
-
 @R.on("er_accept_global")
 def _(t):
-    return _accepted(t).select("left_id", "unit", F.round("score", 5).alias("score"))
+    return E.accept_global(_verdicts(t), 0.0).select("left_id", "unit", F.round("score", 5).alias("score"))
 
 
 @R.on("er_scope_bootstrap")
 def _(t):
-    """Accepted links tell which scopes belong together; a second pass looks there."""
-    acc = _accepted(t)
-    scope = lambda c, k: acc.select(F.col(c).alias(k), F.split_part(c, F.lit(" "), F.lit(1)).alias("scope_l" if k == "left_id" else "scope_r")).distinct()
-    support = E.scope_support(acc, scope("left_id", "left_id"), scope("unit", "unit"))
-    return support.where("support >= 0.2").select("scope_l", "scope_r", F.round("support", 6).alias("support"))
+    """Links of both passes: accepted ones tell which scopes belong together; a second pass looks there.  Numbers and designators must agree."""
+    links, _ = E.scope_bootstrap(_candidates(t).where(E.digit_guard("left_id", "unit")))
+    return links.withColumn("score", F.round("score", 5))
 
 
 @R.on("er_tier_ladder")

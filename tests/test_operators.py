@@ -328,3 +328,23 @@ def test_vote_cells_ids(spark):
 
     got = {r["item"]: (r["n_for"], r["weight"]) for r in panels._cells(Given()).collect()}
     assert got == {1234567890: (1111, 1111.0), 7: (5, 5.0)}
+
+
+def test_scope_bootstrap(spark):
+    """The second pass links within grown scopes, support backs exact names, and shared names are not unique."""
+    rows = [
+        ("acme growth", "ACME GROWTH", 0.9, "acme", "ACME", ["ACME"], 1),
+        ("acme income", "ACME INC", 0.81, "acme", "ACME", ["OTHER"], 1),  # only within the grown scope
+        ("beta income", "BETA INC", 0.81, "beta", "BETA", ["OTHER"], 1),  # no scope known
+        ("rare name", "RARE NAME", 0.98, "rare", "RARE", ["OTHER"], 1),
+        ("shared name", "SHARED NAME", 0.98, "shared", "SHARED", ["OTHER"], 2),  # not unique
+    ]
+    cand = spark.createDataFrame(rows, "left_id string, unit string, score double, scope_l string, scope_r string, families array<string>, n_same_name long")
+    links, support = E.scope_bootstrap(cand)
+    got = {r["left_id"]: (r["unit"], r["tier"], r["pass"]) for r in links.collect()}
+    assert got == {"acme growth": ("ACME GROWTH", "global", 1), "rare name": ("RARE NAME", "global", 1), "acme income": ("ACME INC", "scoped", 2)}
+    assert {(r["scope_l"], r["scope_r"]): r["support"] for r in support.collect()} == {("acme", "ACME"): 1.0, ("rare", "RARE"): 1.0}
+    exact = spark.createDataFrame([("x", "X FUND", 1.0, "acme", "ACME", ["OTHER"], 2), ("y", "Y FUND", 1.0, "beta", "BETA", ["OTHER"], 2)], cand.schema)
+    verdicts = E.judged(exact, support)
+    assert {r["left_id"]: r["verdict"] for r in verdicts.collect()} == {"x": "backed", "y": "veto"}
+    assert [r["left_id"] for r in E.accept_global(verdicts).collect()] == ["x"]
