@@ -206,9 +206,11 @@ def _(t):
        ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""",
 )
 def _(t):
-    a = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"), "label")
-    b = t("embeddings").select(F.col("vec_id").alias("hit_id"), F.col("embedding").alias("y"), "label")
-    sim = a.join(b, "label").where("query_id != hit_id").select("query_id", "hit_id", S.cosine("x", "y").alias("sim"))
+    """Every twentieth row is a query, compared with all other rows whatever their label."""
+    a = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    b = t("embeddings").select(F.col("vec_id").alias("hit_id"), F.col("embedding").alias("y"))
+    # Every query meets every row: without a key Spark compares block by block.
+    sim = a.crossJoin(b).where("query_id != hit_id").select("query_id", "hit_id", S.cosine("x", "y").alias("sim"))
     return sim.where("sim >= 0.3").withColumn("sim", F.round("sim", 5))
 
 

@@ -348,3 +348,13 @@ def test_scope_bootstrap(spark):
     verdicts = E.judged(exact, support)
     assert {r["left_id"]: r["verdict"] for r in verdicts.collect()} == {"x": "backed", "y": "veto"}
     assert [r["left_id"] for r in E.accept_global(verdicts).collect()] == ["x"]
+
+
+def test_cosine_all_labels(spark, tmp_path):
+    """A near row counts whatever its label."""
+    from marlstone.plans import functions
+
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 2), (2, [1.0, 0.2], 1), (3, [-1.0, 0.0], 1), (20, [0.0, 1.0], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["query_id"], r["hit_id"]) for r in functions.R.queries["fn_cosine_vec"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1), (0, 2)}
