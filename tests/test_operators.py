@@ -358,3 +358,28 @@ def test_cosine_all_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r["query_id"], r["hit_id"]) for r in functions.R.queries["fn_cosine_vec"](spark, str(tmp_path)).collect()}
     assert got == {(0, 1), (0, 2)}
+
+
+def test_tfidf_topk_constants(spark, tmp_path):
+    """Every pair from 0.30 on, by brute force, and ranks beyond the third."""
+    import math
+    from collections import Counter
+
+    from marlstone.plans import resolution
+
+    left = ["ACME GROWTH", "BETA INCOME"]
+    right = ["ACME GROWTH", "ACME GROWTHS", "ACME GROW", "ACME GREEN", "ACME GROUP", "BETA INCOMES", "BETA OTHER", "ZZZ QQQ"]
+    spark.createDataFrame([(x,) for x in left], "fundname string").write.parquet(str(tmp_path / "split_s12.parquet"))
+    spark.createDataFrame([(x,) for x in right], "fund_name string").write.parquet(str(tmp_path / "portnomap.parquet"))
+
+    def grams(s):
+        return Counter(p[i : i + n] for w in s.lower().split() for p in [f" {w} "] for n in (2, 3, 4) for i in range(len(p) - n + 1))
+
+    df, n = Counter(g for s in left + right for g in grams(s)), len(left) + len(right)
+    vec = {s: {g: c * (math.log((1 + n) / (1 + df[g])) + 1) for g, c in grams(s).items()} for s in left + right}
+    size = {s: math.sqrt(sum(x * x for x in v.values())) for s, v in vec.items()}
+    cos = {(a, b): sum(x * vec[b].get(g, 0) for g, x in vec[a].items()) / size[a] / size[b] for a in left for b in right}
+    want = {p: round(s, 5) for p, s in cos.items() if s >= 0.3}
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in resolution.R.queries["er_tfidf_topk"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 2e-5 for p in want)
+    assert min(want.values()) < 0.6 and max(Counter(a for a, _ in want).values()) > 3
