@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -11,23 +10,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.abuse_lexicon import PHRASE_WORDS, TELLING
+from marlstone.llm.abuse_lexicon import plain as _ascii
+from marlstone.llm.abuse_model import LABELS, AbuseModel, Doc
 from marlstone.llm.names import typo
 
-# Terms that insult a person, by language (plain text in natural order).
-INSULTS = """idiot moron imbecile cretin scumbag bastard bitch asshole arsehole dickhead shithead dipshit jackass dumbass wanker prick twit twat halfwit
- loser lowlife degenerate shite swine weasel coward liar slut whore cunt motherfucker fucker douchebag retard scum nitwit dimwit maggot parasite
- arschloch vollidiot idiota imbécil cabrón pendejo connard connasse abruti ordure enculé wichser mistkerl trottel hurensohn gilipollas""".split()
-# Single terms of sexual language; alone they mean little.
-SEXUAL = """naked nude nudes horny lick licking moan moaned moaning nipples boobs tits ass cock dick pussy thrust climax spanked undress undressed screw
- fuck fucking bang ride stroke sweaty panting lust orgasm thighs stripped sex xxx uncensored nacktbilder geile stöhnte desnuda follarte gemía nue salope
- gémit déshabilla caresses""".split()
-# What haters call groups of people.
-DEHUMAN = """rats vermin cockroaches subhuman savages animals trash plague disease parasites thieves swine pigs scum filth garbage lice locusts""".split()
-_PLAIN_WORDS = """officer director kitchen country people women foreigners immigrants believers disabled tapes sunrise committee shit shut mouth oxygen
- stupid dumb dead rot piece waste steal stink breed born handle ruin touch rights multiply""".split()
+# Element names of markup; only these are taken out of words.
+_ELEMENTS = "a abbr acronym b big blockquote body br center code dd del div dl dt em font h1 h2 h3 h4 h5 h6 hr html i img ins kbd li mark ol p pre q s samp small span strike strong sub sup table tbody td th thead tr tt u ul wbr".split()
+_TAG = re.compile(r"</?(?:" + "|".join(_ELEMENTS) + r")(?:\s[^<>]*)?/?>")
+_HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+_FOREIGN = re.compile(r"\w*[Ͱ-ӿ]\w*")
+WORDS = sorted(TELLING)
 
 _HOMOGLYPHS = str.maketrans("аеорсухкіѕјԁһвмтнαοεικνρτυ", "aeopcyxkisjdhbmthaoeiknptu")
 _LEET = {
@@ -74,17 +70,23 @@ class Decoder:
     it stands.
     """
 
-    def __init__(self, counts: np.ndarray, words: list[str], mix: float = 0.2):
+    def __init__(self, counts: np.ndarray, words: list[str], mix: float = 0.2, slip: float = 0.5):
+        self.slip = slip
         self.cost = self._model(counts, words, mix)
-        #: Of spaced letters more is lost than of other disguises: here all words of the patterns weigh in.
-        self.run_cost = self._model(counts, sorted({*words, *_pattern_words()}), 0.5)
+        #: Of spaced letters more is lost than of other disguises: here all words of the phrases weigh in.
+        self.run_cost = self._model(counts, sorted({*words, *PHRASE_WORDS}), 0.5)
         self.words = {_ascii(w) for w in words}
         self.by_length: dict[int, list[str]] = {}
         self.by_single: dict[str, list[str]] = {}
+        self.by_cut: dict[str, list[str]] = {}
         for w in sorted(self.words):
             self.by_length.setdefault(len(w), []).append(w)
             self.by_single.setdefault(re.sub(r"(.)\1+", r"\1", w), []).append(w)
-        self.decode = lru_cache(maxsize=1 << 17)(self._decode)
+            if len(w) >= 5:
+                for cut in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+                    self.by_cut.setdefault(cut, []).append(w)
+        #: What a token stands for: most tokens come again and again.
+        self.token = lru_cache(maxsize=1 << 17)(self._token)
 
     @staticmethod
     def _model(counts: np.ndarray, words: list[str], mix: float) -> list:
@@ -98,11 +100,12 @@ class Decoder:
         return (-np.log(p)).reshape(27, 27, 27).tolist()
 
     def viterbi(self, lattice: list[list[tuple[str, float]]], model: list | None = None) -> tuple[str, float]:
+        """The cheapest path's text and cost; its time grows with the lattice's length alone."""
         p = model or self.cost
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in lattice:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (cost, path) in best.items():
                 for letters, extra in options:
                     x, y, c = a, b, cost + extra
                     for ch in letters:
@@ -110,10 +113,14 @@ class Decoder:
                         c += p[x][y][k] + (6.0 if k == 0 and not ch.isspace() else 0.0)
                         x, y = y, k
                     if (x, y) not in new or c < new[x, y][0]:
-                        new[x, y] = (c, text + letters)
+                        new[x, y] = (c, (path, letters))
             best = new
-        cost, text = min((c + p[a][b][0], t) for (a, b), (c, t) in best.items())
-        return text, cost
+        cost, path = min(((c + p[a][b][0], t) for (a, b), (c, t) in best.items()), key=lambda x: x[0])
+        out = []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out)), cost
 
     def _decode(self, token: str) -> str:
         """The likeliest word behind one token (lower case, without outer punctuation)."""
@@ -122,7 +129,7 @@ class Decoder:
         if "*" in token:  # as many letters as stars: a word looked for that fits, else the model's best guess
             fits = [w for w in self.by_length.get(len(token), []) if all(a in ("*", b) for a, b in zip(token, w, strict=True))]
             if fits:
-                return min(fits, key=lambda w: (self.viterbi([[(c, 0.0)] for c in w])[1], w))
+                return min(fits, key=lambda w: (self._written(w), w))
             return token
         lattice, i, odd = [], 0, False
         while i < len(token):
@@ -148,18 +155,18 @@ class Decoder:
                     return form
             signs = 0 < sum(c in _LEET for c in token) < sum(c in _CODE for c in token)
             # Another word than those looked for: only where signs stood for letters and the model likes it better.
-            if signs and not any(c in _LEET for c in text) and cost < self.viterbi([[(c, 0.0)] for c in token])[1]:
+            if signs and not any(c in _LEET for c in text) and cost < self._written(token):
                 token = text
-        if len(token) >= 5 and token.isascii() and token.isalpha() and not self._usual(token):
-            near = [w for n in (-1, 0, 1) for w in self.by_length.get(len(token) + n, []) if len(w) >= 5 and (w[0] == token[0] or w[1:3] == token[1:3]) and typo(token.upper(), w.upper())]
-            if len(near) == 1:
+        if len(token) >= 5 and token.isascii() and token.isalpha():
+            near = {w for cut in (token, *(token[:i] + token[i + 1 :] for i in range(len(token)))) for w in self.by_cut.get(cut, ())}
+            near = [w for w in near if typo(token.upper(), w.upper())]
+            # A slip, if the model, letter for letter, would rather have the one word it may be a slip of than what is written.
+            if len(near) == 1 and self._written(near[0]) / (len(near[0]) + 1) + self.slip < self._written(token) / (len(token) + 1):
                 return near[0]
         return token
 
-    def _usual(self, token: str) -> bool:
-        """Whether the written form is itself likely under the model: then it is no slip of another word."""
-        _, cost = self.viterbi([[(c, 0.0)] for c in token])
-        return cost / (len(token) + 1) < 2.05
+    def _written(self, token: str) -> float:
+        return self.viterbi([[(c, 0.0)] for c in token])[1]
 
     _SIGN = r"[a-zß-ÿ0-9@$!]"
     _GAP = r"[\s.,_\-/~·•]"
@@ -193,154 +200,92 @@ class Decoder:
         if not self.words.intersection(re.findall(r"\w+", text)):
             # A word looked for with a slip in it; a lone article or pronoun may stand before or after it.
             for head, core, tail in (("", glued, ""), (glued[:1] + " ", glued[1:], ""), ("", glued[:-1], " " + glued[-1:])):
-                if len(core) >= 3 and (word := self.decode(core)) in self.words:
+                if len(core) >= 3 and (word := self._decode(core)) in self.words:
                     return head + word + tail
         return text
 
     def restore(self, text: str) -> str:
-        t = unicodedata.normalize("NFKC", html.unescape(text)).lower()
-        t = re.sub(r"[​-‏﻿­]|<[^<>]{1,40}>", "", t)
-        t = re.sub(r"\w*[Ͱ-ӿ]\w*", lambda m: m.group(0).translate(_HOMOGLYPHS) if re.search(r"[a-z]", m.group(0).translate(_HOMOGLYPHS)) else m.group(0), t)
-
+        """The text in lower case with disguised words restored; whatever the length of text, word or disguise."""
+        t = html.unescape(text) if "&" in text else text
+        t = t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).lower()
+        if "<" in t:
+            t = _TAG.sub("", t)
+        if not t.isascii():
+            t = _HIDDEN.sub("", t)
+            t = _FOREIGN.sub(lambda m: w if re.search(r"[a-z]", w := m.group(0).translate(_HOMOGLYPHS)) else m.group(0), t)
         t = self._SPACED.sub(lambda m: self._join(m.group(0)), t)
+        out = {w: r for w in set(self._TOKEN.findall(t)) if (r := self.token(w)) != w}
+        return self._TOKEN.sub(lambda m: out.get(m.group(0), m.group(0)), t) if out else t
 
-        def one(m: re.Match) -> str:
-            s = m.group(0)
-            core = s.strip(".'’-—…")
-            core = core.rstrip("!1") if core.rstrip("!1").isalpha() else core.rstrip("!")
-            if len(core) < 3 or not _suspicious(core):
-                return s
-            if re.search(r"[a-z][_.\-|+~^][a-z]", core) and (joined := self.decode(re.sub(r"[_.\-|+~^]", "", core))) in self.words:
-                return s.replace(core, joined, 1)
-            return s.replace(core, self.decode(core), 1)
-
-        return self._TOKEN.sub(one, t)
+    def _token(self, s: str) -> str:
+        core = s.strip(".'’-—…")
+        core = core.rstrip("!1") if core.rstrip("!1").isalpha() else core.rstrip("!")
+        if len(core) < 3 or not _suspicious(core):
+            return s
+        if re.search(r"[a-z][_.\-|+~^][a-z]", core) and (joined := self._decode(re.sub(r"[_.\-|+~^]", "", core))) in self.words:
+            return s.replace(core, joined, 1)
+        return s.replace(core, self._decode(core), 1)
 
 
 _ODD = re.compile(r"[a-z][_.\-|+~^][a-z]|[a-zß-ÿ][*0-9@$!|+€£]|[*0-9@$!|+€£][a-zß-ÿ]|([a-z])\1")
 
 
 def _suspicious(core: str) -> bool:
-    return len(core) <= 24 and (bool(_ODD.search(core)) or (len(core) >= 5 and core.isalpha() and core.isascii()))
-
-
-def _ascii(w: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
-
-
-def _any(words: list[str]) -> str:
-    return "(?:" + "|".join(sorted((re.escape(w) for w in {*words, *map(_ascii, words)}), key=len, reverse=True)) + ")"
-
-
-_INS = _any(INSULTS) + r"(?:e?s|n)?"
-_DEH = r"(?:a )?" + _any(DEHUMAN)
-#: Patterns over restored sentences: (category, weight, pattern).  Weights of one category add up within a sentence; 1 is a case.
-PATTERNS: list[tuple[str, float, re.Pattern]] = [
-    (c, w, re.compile(p))
-    for c, w, p in [
-        # Abuse: an insult to someone; threats and wishes of harm.
-        ("abusive", 1.0, rf"\b{_INS}\b"),
-        ("abusive", 1.0, r"\b(?:kiss my ass|drop dead|get lost|go to hell|fuck off|fuck you|shut (?:up|your mouth)|piece of shit|human garbage)\b"),
-        ("abusive", 1.0, r"\b(?:waste of (?:oxygen|skin|space)|oxygen thie(?:f|ves)|dumber than|kys|kill yourself|shame on the parents|should rot)\b"),
-        ("abusive", 1.0, r"\btoo (?:stupid|thick|dumb|ugly) to\b"),
-        ("abusive", 1.0, r"\b(?:hit by a bus|find out where you live|nobody would miss you|brain[- ]?dead|chokes? on|breathe the same air)\b"),
-        ("abusive", 1.0, r"\b(?:beat|wipe|smack|punch|slap)\b[^.!?]{0,30}\b(?:face|teeth|mouth|head)\b"),
-        ("abusive", 1.0, r"\b(?:break|broke) [^.!?]{1,40}(?:legs?|neck|arms?|bones)\b"),
-        ("abusive", 1.0, r"\b(?:waiting|surprise)\b[^.!?]{0,60}\bparks?\b|\bparks?\b[^.!?]{0,60}\b(?:waiting|surprise|regret)\b"),
-        ("abusive", 0.6, r"\b(?:lump|ashamed)\b"),
-        ("abusive", 0.6, r"\byour mother\b"),
-        ("abusive", 0.6, r"\b(?:useless|spineless|worthless|pathetic|disgusting|ugly|greedy|lying|filthy)\b"),
-        ("abusive", 0.5, r"\b(?:you|whoever|so-called|clown who|that is our)\b"),
-        ("abusive", 1.0, r"\bhalt (?:\w+ )?die fresse\b|\bverrecken\b|\bdummer? (?:sau|hund)\b"),
-        ("abusive", 1.0, r"\bferme ta gueule\b|\bbande d['’]abrutis\b|\bqu['’]il creve\b|\bsale (?:con|conne)\b|\bvous me degoutez\b"),
-        ("abusive", 1.0, r"\bpedazo de mierda\b|\bhij[oa]s? de puta\b|\bvete a la mierda\b|\bojala (?:te |se )?muera|\brata asquerosa\b"),
-        # Hate: a group of people denied worth, rights or humanity.
-        ("hateful", 1.0, rf"\b(?:breed|multiply) like\b|\bare {_DEH}\b(?! (?:data|fund|spirit))|\b{_any(DEHUMAN)},? the lot of them\b|\bthose {_DEH}\b"),
-        ("hateful", 1.0, r"\b(?:deserve no rights|no place among decent|not people as we are|not (?:even )?human|subhuman|lesser (?:kind|sort|race)|born thieves|kept (?:apart|away) from our children)\b"),
-        ("hateful", 1.0, r"\b(?:driven out of the country|be sterilised|be sterilized|ship them off|lock every one of them away|live off the rest of us)\b"),
-        ("hateful", 1.0, r"\b(?:stink and steal|who steal, it is in their blood|it is in their blood|it is how they are born|ruin everything they touch|crawled out from|can smell it when)\b"),
-        ("hateful", 1.0, r"\bwould not let [^.!?]{1,60} have children\b|\bbelong in the kitchen\b|\btoo (?:dumb|dim|stupid) (?:to read|for that)\b"),
-        ("hateful", 1.0, r"\b(?:sooner|once|until)\b[^.!?]{0,60}\bwiped (?:out|off)\b|\bwiped off\b"),
-        ("hateful", 0.6, r"\b(?:smell|hired)\b"),
-        ("hateful", 0.6, r"\b(?:downhill|every one|the families of|of them|folk|those people)\b"),
-        ("hateful", 1.0, r"\bsind (?:tiere|ungeziefer|ratten|abschaum)\b|\bkeine menschen\b|\bungeziefer\b|\bgehoren (?:alle )?weg\b"),
-        ("hateful", 1.0, r"\bsont (?:des|de la|tous des) (?:rats?|parasites?|vermine?|sous[- ]hommes|animaux|chiens)\b|\bvermine?, dehors\b|\bsous[- ]hommes\b"),
-        ("hateful", 1.0, r"\bson (?:una |la )?(?:basura|ratas|animales|escoria|parasitos|plaga)\b|\bechar(?:los|las) a tod[oa]s\b|\bni siquiera son personas\b"),
-        # Sex: explicit acts, body parts and offers.
-        ("sexual", 1.0, r"\b(?:naked|nude) (?:pictures?|photos?|pics?|selfies?)\b|\bget naked\b|\bhorny\b|\bxxx\b|\bsex tapes?\b|\b(?:hot|wild) sex\b|\bporno?\b"),
-        ("sexual", 1.0, r"\blick every inch\b|\bstripped and spanked\b|\bundress\b[^.!?]{0,40}\b(?:slowly|watch)\b|\bstroke (?:themselves|himself|herself|myself|yourself)\b"),
-        ("sexual", 1.0, r"\bmake (?:her|him|me|you) come\b|\btake it in the mouth\b|\b(?:whole )?climax\b|\bevery thrust\b|\bdripping wet\b|\bhands off myself\b"),
-        ("sexual", 1.0, r"\b(?:to|wanna) (?:bang|fuck|screw)\b(?! the| up)|\b(?:bang|fuck|ride|screw) (?:you |me |until |all night)|\btouch each other\b"),
-        ("sexual", 1.0, r"\brate my (?:\w+ )?from one to ten|\bnice (?:ass|nipples|boobs|tits|cock|dick|pussy)\b|\blove to squeeze\b|\bwhole floor hears\b|\buntil neither of us can walk\b"),
-        ("sexual", 1.0, r"\bmoaned as\b|\bpulled off her clothes\b|\bpushed (?:her|him) onto\b|\bpanting and sweaty\b|\btook (?:her|him|me) from behind\b"),
-        ("sexual", 0.6, r"\b(?:nipples|boobs|tits|pussy|cock|lust|orgasm|spanked|moan(?:ed|ing)?|horny|thighs|nude|uncensored|xxx|stripped|panting|fuck|ass)\b"),
-        ("sexual", 0.5, r"\b(?:naked|bare|lips|tongue|lonely wives|bored wives|cams|tied|knees|wet|bounced|begged|sweaty|grown men|ride|bang|rough)\b"),
-        ("sexual", 1.0, r"\bnacktbilder\b|\bgeile\b|\bstohnte\b|\bunter (?:den|ihren) rock\b|\bfick(?:en|st)?\b"),
-        ("sexual", 1.0, r"\bde toi nue\b|\bgemit\b|\bdeshabilla\b|\bsalope\b|\bbaise[rz]?[- ]moi\b"),
-        ("sexual", 1.0, r"\bdesnuda\b|\bfollar(?:te|me)?\b|\bgemia de placer\b|\bquito la ropa\b"),
-    ]
-]
-#: Contexts in which rough or sexual words are no case: about oneself, about things, or terms of art.
-HARMLESS = [
-    re.compile(p)
-    for p in [
-        rf"\bi (?:was|am|feel|felt|must have been|have been)\b(?: \w+){{0,3}} (?:{_INS}|stupid|dumb)\b",
-        r"\bi['’]?m (?:such )?an? \w+\b",
-        r"\bnaked short\b[^.!?]{0,12}|\bnaked (?:option|call|put)s?\b",
-        r"\bsexual (?:harassment|health|orientation|misconduct|abuse)\b|\bsex, race and religion\b|\bbreast cancer\b",
-        r"\bgarbage (?:data|in|collection)\b|\b(?:maggot|pig|insect) (?:protein|feed|farm)\b|\bpig feed\b",
-        r"\bpoison pill\b|\bpark(?:ed|ing)? (?:the )?(?:cash|assets|money|lot)\b|\bno place to park\b",
-        r"\bparasite (?:drug|infection|control|treatment)s?\b|\bweasel words?\b",
-    ]
-]
-_SPLIT = re.compile(r"[.!?]+(?:\s|$)|\n+|\s{2,}")
-_HOT = re.compile("|".join(p.pattern for _, _, p in PATTERNS))
-WORDS = sorted({*INSULTS, *SEXUAL, *DEHUMAN, *_PLAIN_WORDS})
-
-
-def _pattern_words() -> set[str]:
-    """The plain words that stand in the patterns."""
-    return {w for _, _, p in PATTERNS for w in re.findall(r"[a-z]{2,}", re.sub(r"\\[a-zA-Z]", " ", p.pattern))}
-
-
-def score_restored(text: str) -> dict[str, float]:
-    """The highest sum of weights of any sentence, by category."""
-    best = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
-    t = _ascii(text)
-    if not _HOT.search(t):
-        return best
-    for sentence in _SPLIT.split(t):
-        if not sentence or not _HOT.search(sentence):
-            continue
-        for h in HARMLESS:
-            sentence = h.sub(" ", sentence)
-        sums = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
-        for c, w, p in PATTERNS:
-            if p.search(sentence):
-                sums[c] += w
-        for c, v in sums.items():
-            best[c] = max(best[c], v)
-    return best
-
-
-def score_documents(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, ``abusive, hateful, sexual`` and ``score`` in 0..1 of every document; 0.5 and more is a case.
+    return bool(_ODD.search(core)) or (len(core) >= 5 and core.isalpha() and core.isascii())
+
+
+def _decoded(documents: DataFrame, keep: list[str], text: str, counts: np.ndarray) -> DataFrame:
+    """``keep`` columns and ``restored`` text."""
+    rows = documents.select(*keep, F.col(text).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", restored string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(counts, WORDS)
+        for batch in batches:
+            got = [decoder.restore(t) if t else "" for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.string())], names=[*keep, "restored"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def fit_model(documents: DataFrame, labels: DataFrame, counts: np.ndarray, text: str = "text", most_docs: int = 20_000, most_chars: int = 64_000_000) -> AbuseModel:
+    """The sentence classifier fitted on labelled documents; ``labels``: ``doc_id, reviewer, label``.
+
+    Bounded sample: of the labelled documents, in the order of a hash of their id,
+    the first ``most_docs`` whose texts together have up to ``most_chars``
+    characters; with fewer than that all of them.  Null or unknown labels,
+    reviewers and documents say nothing; without any the odds set beforehand stand.
+    """
+    votes = labels.where(F.col("doc_id").isNotNull() & F.col("reviewer").isNotNull() & F.col("label").isin(LABELS))
+    votes = votes.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("reviewer", "label"))).alias("votes"))
+    known = documents.select("doc_id", F.col(text).alias("_text")).where("_text is not null").join(votes, "doc_id")
+    first = known.select("*", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id", "_text").limit(most_docs)
+    upto = F.sum(F.length("_text")).over(Window.orderBy("_h", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, 0))  # of most_docs rows
+    chosen = first.withColumn("_upto", upto).where(F.col("_upto") <= most_chars)
+    chosen = chosen.select("doc_id", "_text", F.transform("votes", lambda v: F.concat_ws("\t", v["reviewer"].cast("string"), v["label"])).alias("votes"))
+    rows = _decoded(chosen.repartition(chosen.sparkSession.sparkContext.defaultParallelism, "doc_id"), ["doc_id", "votes"], "_text", counts).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["restored"]))
+    return AbuseModel().fit([Doc(r["restored"], [tuple(v.rsplit("\t", 1)) for v in r["votes"]]) for r in rows])
+
+
+def score_documents(documents: DataFrame, keep: list[str], labels: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """``keep`` columns, ``abusive, hateful, sexual`` and ``score`` (of any of them) in 0..1 of every document; 0.5 and more is a case.
 
     Every text is deobfuscated whole (see :class:`Decoder`; its character model is
-    counted over all documents) and each restored sentence scored by weighted
-    patterns in four languages; rough words about oneself, about things and terms
-    of art are taken out first.  Null, empty and blank texts score 0.
+    counted over all documents) and the restored sentences are scored by
+    :class:`AbuseModel`, fitted on ``labels`` (see :func:`fit_model`; without them
+    by the odds set beforehand).  Null, empty and blank texts score 0.
     """
     counts = trigram_counts(documents, text)
+    model = AbuseModel() if labels is None else fit_model(documents, labels, counts, text)
     rows = documents.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", abusive double, hateful double, sexual double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(counts, WORDS)
         for batch in batches:
-            got = [score_restored(decoder.restore(t)) if t else {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0} for t in batch.column("_text").to_pylist()]
-            cols = [pa.array([g[c] for g in got], pa.float64()) for c in ("abusive", "hateful", "sexual")]
-            total = pa.array([1 - math.exp(-math.log(2) * max(g.values())) for g in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols, total], names=[*keep, "abusive", "hateful", "sexual", "score"])
+            got = [model.score(decoder.restore(t)) if t else (0.0, 0.0, 0.0, 0.0) for t in batch.column("_text").to_pylist()]
+            cols = [pa.array([g[i] for g in got], pa.float64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, "abusive", "hateful", "sexual", "score"])
 
     return rows.mapInArrow(run, schema)

@@ -116,21 +116,25 @@ def p1_links(spark, sf_dir):
     return out.join(w, "crsp_fundno", "left")
 
 
+def _scored(spark, sf_dir, docs, keep):
+    return abuse.score_documents(docs, keep, table(spark, sf_dir, "doc_labels"))
+
+
 @R.add("p9_found")
 def p9_found(spark, sf_dir):
-    return abuse.score_documents(table(spark, sf_dir, "documents"), ["doc_id"]).where("score >= 0.5").select("doc_id").distinct()
+    return _scored(spark, sf_dir, table(spark, sf_dir, "documents"), ["doc_id"]).where("score >= 0.5").select("doc_id").distinct()
 
 
 @R.add("p9_scores")
 def p9_scores(spark, sf_dir):
-    return abuse.score_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+    return _scored(spark, sf_dir, table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @R.add("p9_rates")
 def p9_rates(spark, sf_dir):
     """Share of documents with such content per source."""
     docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce(mixing.plain_source("source"), F.lit("unknown")))
-    s = abuse.score_documents(docs, ["doc_id", "source"])
-    hit = lambda c: F.count(F.when(F.col(c) >= 1, 1))
-    out = s.groupBy("source").agg(F.count("*").alias("n_docs"), F.count(F.when(F.col("score") >= 0.5, 1)).alias("n_cases"), *[hit(c).alias(f"n_{c}") for c in ("abusive", "hateful", "sexual")])
+    s = _scored(spark, sf_dir, docs, ["doc_id", "source"])
+    hit = lambda c: F.count(F.when(F.col(c) >= 0.5, 1))
+    out = s.groupBy("source").agg(F.count("*").alias("n_docs"), hit("score").alias("n_cases"), *[hit(c).alias(f"n_{c}") for c in ("abusive", "hateful", "sexual")])
     return out.withColumn("rate", F.col("n_cases") / F.col("n_docs"))

@@ -1,9 +1,12 @@
 """Deobfuscation and scoring: disguises come back, rough words about oneself or things are no case, labels are met."""
 
-import numpy as np
+import zlib
+from collections import Counter
+
 import pytest
 
 from marlstone.llm import abuse
+from marlstone.llm.abuse_model import _ALWAYS, _WORD, AbuseModel, Doc, plain, sentences
 from marlstone.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -18,7 +21,8 @@ def decoder(spark):
     "text,word",
     [
         ("you 1d10t", "idiot"), ("what a b!tch", "bitch"), ("a m a g g o t.", "maggot"), ("be a b i t c h now", "bitch"), ("the i******e again", "imbecile"), ("you diiiickhead", "dickhead"), ("such a dipsshit", "dipshit"),
-        ("nice аss", "ass"), ("a сrеtіn", "cretin"), ("you scumb_ags", "scumbag"), ("that hlfwit", "halfwit"), ("b*stard", "bastard"),
+        ("nice аss", "ass"), ("a сrеtіn", "cretin"), ("you scumb_ags", "scumbag"), ("that hlfwit", "halfwit"), ("b*stard", "bastard"), ("you i" + "d" + "i" * 40 + "ot", "idiot"),
+        ("an id<span class='" + "x" * 100 + "'>iot", "idiot"), ("you w" + "a" * 3000 + "nker", "wanker"),
     ],
 )
 def test_restored(decoder, text, word):
@@ -38,9 +42,9 @@ HARMLESS = ["I was an idiot to trust my own spreadsheet and forgot the split.",
 
 
 def test_cases(decoder):
-    top = lambda t: max(abuse.score_restored(decoder.restore(t)).values())
-    assert [t for t in CASES if top(t) < 1] == [] and [t for t in HARMLESS if top(t) >= 1] == []
-    assert top("calm words. " * 20000 + "you m0r0n") >= 1  # whole texts, not their beginnings
+    top = lambda t: AbuseModel().score(decoder.restore(t))[3]  # noqa: E731 - before any label is seen
+    assert [t for t in CASES if top(t) < 0.5] == [] and [t for t in HARMLESS if top(t) >= 0.5] == []
+    assert top("calm words. " * 20000 + "you m0r0n") >= 0.5  # whole texts, not their beginnings
 
 
 def test_documents_edges(spark):
@@ -50,18 +54,67 @@ def test_documents_edges(spark):
     assert abuse.score_documents(df.limit(0), ["doc_id"]).count() == 0
 
 
-def test_against_reviewers(spark):
-    """Agreement with the documents on which all reviewers agree; the patterns were written knowing such texts, so no held-out accuracy."""
-    sf = "/root/testdata/sf0.1"
-    labels = {}
+def test_fit_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "calm words"), (None, "you idiot"), (4, "you idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "r", "clean"), (2, "r", "abusive"), (3, None, "clean"), (4, "r", "odd"), (4, "r", None), (9, "r", "clean"), (4, "s", "abusive"), (4, "s", "abusive")], "doc_id long, reviewer string, label string")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in abuse.score_documents(docs, ["doc_id"], labels).collect()}
+    assert got == {1: False, 2: False, 3: False, None: True, 4: True}
+    assert abuse.score_documents(docs, ["doc_id"], labels.limit(0)).where("score >= 0.5").count() == 2
+
+
+def labelled(spark, sf):
+    votes = {}
     for r in table(spark, sf, "doc_labels").collect():
-        labels.setdefault(r["doc_id"], set()).add(r["label"] != "clean")
-    agreed = {d: next(iter(v)) for d, v in labels.items() if len(v) == 1}
-    docs = table(spark, sf, "documents")
-    got = {r["doc_id"]: r["score"] >= 0.5 for r in abuse.score_documents(docs, ["doc_id"]).collect()}
-    right = np.mean([got[d] == y for d, y in agreed.items()])
-    flagged = [y for d, y in agreed.items() if got[d]]
-    assert right > 0.93 and np.mean(flagged) > 0.95
+        votes.setdefault(r["doc_id"], []).append((r["reviewer"], r["label"]))
+    counts = abuse.trigram_counts(table(spark, sf, "documents"))
+    dec = abuse.Decoder(counts, abuse.WORDS)
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", "text").collect()
+    return [Doc(dec.restore(r["text"]), sorted(votes[r["doc_id"]])) for r in sorted(rows) if r["doc_id"] in votes]
+
+
+def folds(docs, n):
+    """Documents that share a sentence form no clean document has are in one fold: what is held out is worded as nothing learned from."""
+    probe = AbuseModel()
+    df = Counter(w for r, v in docs if any(c != "clean" for _, c in v) for w in set(_WORD.findall(plain(r))))
+    probe.known = _ALWAYS | {w for w, k in df.items() if k >= 3 and not w[0].isdigit()}
+    forms = [{probe.masked(s) for s in sentences(d.restored)} for d in docs]
+    clean = {f for fs, d in zip(forms, docs, strict=True) if all(c == "clean" for _, c in d.votes) for f in fs}
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, fs in enumerate(forms):
+        for f in sorted(fs - clean):
+            up[find(("f", f))] = find(("d", i))
+    roots = [find(("d", i)) for i in range(len(docs))]
+    return [zlib.crc32(str(r).encode()) % n for r in roots]
+
+
+def test_held_out(spark):
+    """Documents on which two reviewers agree, by models that saw none of their wordings."""
+    docs = labelled(spark, "/root/testdata/sf0.1")
+    fold = folds(docs, 3)
+    right, wrong, missed = 0, 0, 0
+    for k in range(3):
+        m = AbuseModel().fit([d for d, f in zip(docs, fold, strict=True) if f != k])
+        for d, f in zip(docs, fold, strict=True):
+            if f == k and len(d.votes) > 1 and len({c != "clean" for _, c in d.votes}) == 1:
+                bad, got = d.votes[0][1] != "clean", m.score(d.restored)[3] >= 0.5
+                right, wrong, missed = right + (bad and got), wrong + (got and not bad), missed + (bad and not got)
+    assert right >= 20 and right / (right + missed) >= 0.8 and right / (right + wrong) >= 0.9
+
+
+def test_model_learns_reviewers_errors():
+    """A reviewer who calls everything abusive is not believed; wordings outside the lexicon are learned."""
+    bad = [Doc(f"the board zorped {i} times. fine day today", [("a", "hateful"), ("b", "hateful"), ("c", "abusive")]) for i in range(30)]
+    good = [Doc(f"fine day today. {i} votes were cast by holders", [("a", "clean"), ("b", "clean"), ("c", "abusive")]) for i in range(120)]
+    m = AbuseModel().fit(bad + good)
+    a, h, s, any_ = m.score("yes. the board zorped 99 times")
+    assert any_ >= 0.5 and h > max(a, s) and m.score("fine day today. 7 votes were cast by holders")[3] < 0.5
+    assert AbuseModel().fit([]).score("") == (0.0, 0.0, 0.0, 0.0)
 
 
 @pytest.mark.parametrize(
@@ -77,7 +130,7 @@ def test_spaced(decoder, text, words):
 
 def test_spaced_sentences(decoder):
     """A restored phrase stays one sentence; runs that are no words are left as they stand."""
-    top = lambda t: max(abuse.score_restored(decoder.restore(t)).values())
-    assert top("p i e c e   o f   s h i t") >= 1 and top("s e x   t a p e s") >= 1
+    top = lambda t: AbuseModel().score(decoder.restore(t))[3]
+    assert top("p i e c e   o f   s h i t") >= 0.5 and top("s e x   t a p e s") >= 0.5
     for text in ("i am 74 and vote", "3, as in 2016", "| 2 | 1 | 40 |"):
         assert decoder.restore(text) == text
