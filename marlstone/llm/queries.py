@@ -43,15 +43,76 @@ def _counted(spark, sf_dir):
     return written(tokens.token_counts(docs, ["doc_id", "source", "lang"]), "p8-counts")
 
 
+#: The sources of each domain of these tables: the upper level of the tree.
+DOMAINS = {
+    "filings": ["def14a", "s1_bios"],
+    "votes": ["npx_rationale", "policy_notes"],
+    "investors": ["letters_13f", "holder_comments"],
+    "informal": ["forum_posts", "run_notes"],
+}
+
+
 @R.add("p8_mixture")
 def p8_mixture(spark, sf_dir):
-    return mixing.mix(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"), domains=DOMAINS)
 
 
 @R.add("p8_shares")
 def p8_shares(spark, sf_dir):
     counts, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    return mixing.shares(mixing.mix(counts, targets), counts, targets)
+    return mixing.shares(mixing.mix(counts, targets, domains=DOMAINS), counts, targets)
+
+
+@R.add("p8_short_shares")
+def p8_short_shares(spark, sf_dir):
+    """Shares of a mixture as large as the documents: sources too small for their share leave it to siblings, then to other domains."""
+    counts, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(counts, targets, domains=DOMAINS, all_held=True), counts, targets)
+
+
+@R.add("p8_short_mixture")
+def p8_short_mixture(spark, sf_dir):
+    return mixing.mix(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"), domains=DOMAINS, all_held=True)
+
+
+def _fill(parent: str, child: str, into: str, by: str) -> str:
+    """SQL that spreads ``parent.budget`` over its children by weight, none over its capacity: the fullest first, the rest shares what is left."""
+    return f"""
+    {into}_r AS (SELECT c.*, p.budget AS amount, c.capacity / c.weight AS full_at, row_number() OVER (PARTITION BY {by} ORDER BY c.capacity / c.weight, c.name) AS pos,
+        coalesce(sum(c.capacity) OVER w, 0) AS taken, sum(c.weight) OVER (PARTITION BY {by}) - coalesce(sum(c.weight) OVER w, 0) AS weight_left
+        FROM {child} c JOIN {parent} p USING ({by}) WHERE c.weight > 0
+        WINDOW w AS (PARTITION BY {by} ORDER BY c.capacity / c.weight, c.name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {into}_l AS (SELECT *, (amount - taken) / weight_left AS level FROM {into}_r),
+    {into}_f AS (SELECT *, coalesce(arg_min(level, pos) FILTER (WHERE full_at > level) OVER (PARTITION BY {by}), 1e300) AS cut FROM {into}_l),
+    {into} AS (SELECT *, least(capacity, weight * cut) AS budget FROM {into}_f)"""
+
+
+@R.add(
+    "p8_budgets",
+    r"""
+    WITH d AS (SELECT replace(lower(trim(source, E' 	
+
+')), '-', '_') AS source,
+        CASE WHEN regexp_extract(lower(trim(lang)), '^([a-z]{2,3})(?:[-_].*)?$', 1) <> '' THEN regexp_extract(lower(trim(lang)), '^([a-z]{2,3})(?:[-_].*)?$', 1) ELSE 'und' END AS lang,
+        n_chars FROM documents WHERE n_chars > 0),
+    leaf AS (SELECT CASE WHEN source IN ('def14a', 's1_bios') THEN 'filings' WHEN source IN ('npx_rationale', 'policy_notes') THEN 'votes'
+        WHEN source IN ('letters_13f', 'holder_comments') THEN 'investors' WHEN source IN ('forum_posts', 'run_notes') THEN 'informal' ELSE source END AS domain,
+        lang, source, source AS name, CAST(sum(n_chars) AS DOUBLE) AS held, any_value(target_share) * sum(n_chars) / sum(sum(n_chars)) OVER (PARTITION BY source) AS weight,
+        CAST(sum(n_chars) * any_value(max_repeats) AS DOUBLE) AS capacity FROM d JOIN mix_targets USING (source) GROUP BY lang, source),
+    lang AS (SELECT domain, lang, lang AS name, sum(weight) AS weight, sum(capacity) AS capacity FROM leaf WHERE weight > 0 GROUP BY ALL),
+    dom AS (SELECT 1 AS one, domain, domain AS name, sum(weight) AS weight, sum(capacity) AS capacity FROM lang GROUP BY ALL),
+    top AS (SELECT 1 AS one, least(sum(held), sum(capacity) FILTER (weight > 0)) AS budget FROM leaf),"""
+    + _fill("top", "dom", "dom_b", "one") + "," + _fill("dom_b", "lang", "lang_b", "domain") + "," + _fill("lang_b", "leaf", "leaf_b", "domain, lang")
+    + """
+    SELECT l.domain, l.lang, l.source, round(l.weight, 6) AS weight, l.capacity, round(coalesce(b.budget, 0), 1) AS budget
+    FROM leaf l LEFT JOIN leaf_b b ON b.domain = l.domain AND b.lang = l.lang AND b.source = l.source
+    """,
+)
+def p8_budgets(spark, sf_dir):
+    """Budgets of the leaves where the mixture is as large as the documents and short sources' shares move on; sizes in characters, which SQL can count too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.plain_source("source").alias("source"), mixing.plain_language("lang").alias("lang"), F.col("n_chars").alias("n_tokens"))
+    got = mixing.budgets(docs, table(spark, sf_dir, "mix_targets"), DOMAINS, all_held=True)
+    return got.withColumn("weight", F.round("weight", 6)).withColumn("budget", F.round("budget", 1))
 
 
 def _variants(spark, sf_dir):
