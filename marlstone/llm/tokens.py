@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Where the vocabulary files lie; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
+#: How many neighbours a task joins, and the most characters a string column can hold.
+FAN, MOST_CHARS = 16, 1 << 31
+
+
+#: How the vocabulary splits text before its merges; a fixed value of the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    """The encoder of a rank file, and each token's length in bytes."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    width = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+    for token, i in ranks.items():
+        width[i] = len(token)
+    return tiktoken.Encoding("marlstone", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, width
+
+
+class Coded(NamedTuple):
+    """A stretch of text as UTF-8, its ids, and the byte at which each token ends."""
+
+    text: bytes
+    ids: np.ndarray
+    ends: np.ndarray
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    def begin(self, i: int) -> int:
+        return int(self.ends[i - 1]) if i else 0
+
+    def inside(self, at: int) -> bool:
+        """Whether the byte at ``at`` continues a character."""
+        return 0 < at < len(self.text) and self.text[at] & 0xC0 == 0x80
 
 
 class TreeEncoder:
@@ -35,7 +64,8 @@ class TreeEncoder:
     """
 
     def __init__(self, path: str, leaf_chars: int = 4096, start: int = 16):
-        self.tok, self.leaf, self.start = _tokenizer(path), max(2, leaf_chars), start
+        self.raw, self.width = _tokenizer(path)
+        self.leaf, self.start = max(2, leaf_chars), start
 
     def leaves(self, text: str) -> list[str]:
         if len(text) <= self.leaf:
@@ -43,71 +73,50 @@ class TreeEncoder:
         half = len(text) // 2
         return self.leaves(text[:half]) + self.leaves(text[half:])
 
-    def encode_leaves(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        return [(e.ids, e.offsets) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(texts)
-        whole = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
-        for i, e in zip(whole, self.tok.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        for i, t in enumerate(texts):
-            if len(t) > self.leaf:
-                parts = self.leaves(t)
-                out[i] = self.concat([(p, *c) for p, c in zip(parts, self.encode_leaves(parts), strict=True)])[1]
-        return out
-
-    def chunks(self, texts: list[str], chars: int = 200_000) -> Iterator[tuple[int, int, list[list[int]]]]:
-        """``(first, end, ids)`` of runs of about ``chars`` characters: what the tokenizer holds at once stays small."""
-        first, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t) + 50
-            if size >= chars or i + 1 == len(texts):
-                yield first, i + 1, self.encode(texts[first : i + 1])
-                first, size = i + 1, 0
-
-    def concat(self, coded: list[tuple[str, list[int], list[tuple[int, int]]]]) -> tuple[str, list[int], list[tuple[int, int]]]:
+    def coded(self, text: str, ids: list[int] | np.ndarray | None = None) -> Coded:
+        ids = np.asarray(self.raw(text) if ids is None else ids, dtype=np.int32)
+        return Coded(text.encode("utf-8"), ids, np.cumsum(self.width[ids]))
+
+    def encode(self, text: str) -> list[int] | np.ndarray:
+        return self.raw(text) if len(text) <= self.leaf else self.tree(text).ids
+
+    def tree(self, text: str) -> Coded:
+        return self.concat([self.coded(t) for t in self.leaves(text)])
+
+    def concat(self, parts: list[Coded]) -> Coded:
         """Joins neighbours pairwise, level by level."""
-        while len(coded) > 1:
-            coded = [self.join(coded[i], coded[i + 1]) if i + 1 < len(coded) else coded[i] for i in range(0, len(coded), 2)]
-        return coded[0]
-
-    def join(self, left, right):
-        (lt, li, lo), (rt, ri, ro) = left, right
-        text, shift = lt + rt, len(lt)
-        if not lt or not rt:
-            return left if lt else right
-        w = self.start
+        while len(parts) > 1:
+            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def join(self, left: Coded, right: Coded) -> Coded:
+        if not left.text or not right.text:
+            return left if left.text else right
+        n_left, n_right, shift, w = len(left.ids), len(right.ids), len(left.text), self.start
         while True:
-            a, b = max(0, len(li) - w), min(len(ri), w)
+            a, b = max(0, n_left - w), min(n_right, w)
             # Whole characters only: a token that shares its character with a neighbour can be no end of a window.
-            while 0 < a and lo[a][0] < lo[a - 1][1]:
+            while 0 < a and left.inside(left.begin(a)):
                 a -= 1
-            while b < len(ri) and ro[b][0] < ro[b - 1][1]:
+            while b < n_right and right.inside(int(right.ends[b - 1])):
                 b += 1
-            lo_at = lo[a][0] if a else 0
-            hi_at = ro[b - 1][1] if b < len(ri) else len(rt)
-            enc = self.tok.encode(lt[lo_at:] + rt[:hi_at], add_special_tokens=False)
-            ids, offs = enc.ids, enc.offsets
-            whole = a == 0 and b == len(ri)
-            if whole or self._agrees(li, lo, a, lo_at, ri, ro, b, shift, ids, offs):
-                ids = li[:a] + ids + ri[b:]
-                offs = lo[:a] + [(x + lo_at, y + lo_at) for x, y in offs] + [(x + shift, y + shift) for x, y in ro[b:]]
-                return text, ids, offs
+            low, high = left.begin(a), int(right.ends[b - 1]) if b < n_right else len(right.text)
+            window = self.coded((left.text[low:] + right.text[:high]).decode("utf-8"))
+            if (a == 0 and b == n_right) or self._agrees(left, a, low, right, b, shift, window):
+                ids = np.concatenate((left.ids[:a], window.ids, right.ids[b:]))
+                return Coded(left.text + right.text, ids, np.cumsum(self.width[ids]))
             w *= 2
 
-    def _agrees(self, li, lo, a, lo_at, ri, ro, b, shift, ids, offs, run: int = 4) -> bool:
+    @staticmethod
+    def _agrees(left: Coded, a: int, low: int, right: Coded, b: int, shift: int, window: Coded, run: int = 4) -> bool:
         """The window's first and last ``run`` tokens are the halves' own, at their own places."""
-        if len(ids) < 2 * run:
+        if len(window.ids) < 2 * run:
+            return False
+        if a > 0 and not (np.array_equal(left.ids[a : a + run], window.ids[:run]) and np.array_equal(left.ends[a : a + run] - low, window.ends[:run])):
             return False
-        if a > 0:
-            mine = list(zip(li[a : a + run], lo[a : a + run], strict=True))
-            if mine != [(i, (x + lo_at, y + lo_at)) for i, (x, y) in zip(ids[:run], offs[:run], strict=True)]:
-                return False
-        if b < len(ri):
-            mine = [(i, (x + shift, y + shift)) for i, (x, y) in zip(ri[max(0, b - run) : b], ro[max(0, b - run) : b], strict=True)]
-            if mine != [(i, (x + lo_at, y + lo_at)) for i, (x, y) in zip(ids[-run:], offs[-run:], strict=True)]:
-                return False
+        if b < len(right.ids):
+            at = max(0, b - run)
+            return np.array_equal(right.ids[at:b], window.ids[-run:]) and np.array_equal(right.ends[at:b] + shift - low, window.ends[-run:])
         return True
 
 
@@ -115,23 +124,23 @@ def encode_corpus(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", leaf_chars: int = 4096, spread_chars: int = 4_000_000,
     tokenizers: str = TOKENIZERS,
 ) -> DataFrame:
-    """``(doc_id, ids array<int>)`` of every row by a byte-level ``tokenizers`` vocabulary, without special tokens.
+    """``(doc_id, ids array<int>)`` of every row by a byte-level rank file, without special tokens.
 
     Null and empty text have the empty list.  Strings of special tokens inside a
     text are ordinary text.  Texts over ``leaf_chars`` are encoded in halves by tree
     concatenation inside their task; texts over ``spread_chars`` are cut into such
-    blocks that other tasks encode, and only the joins meet in one place.  A text is
-    never cut short.  Repeated doc_ids keep one output row per input row.
+    blocks that other tasks encode, and joined by a tree of tasks.  A text is never
+    cut short.  Repeated doc_ids keep one output row per input row.
     """
-    path = f"{tokenizers}/{vocabulary}.json"
+    path = f"{tokenizers}/{vocabulary}.tiktoken"
     rows = df.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     near = rows.where(F.length("t") <= spread_chars)
+    ints = pa.list_(pa.int32())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TreeEncoder(path, leaf_chars)
         for batch in batches:
-            for a, b, ids in enc.chunks(batch.column("t").to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column("d").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["d", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array([enc.encode(t) for t in batch.column("t").to_pylist()], ints)], names=["d", "ids"])
 
     d_type = rows.schema["d"].dataType.simpleString()
     out = near.mapInArrow(whole, f"d {d_type}, ids array<int>")
@@ -146,43 +155,33 @@ def encode_corpus(
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TreeEncoder(path, leaf_chars)
         for batch in batches:
-            ids, begins, ends = [], [], []
-            for t in batch.column("t").to_pylist():
-                ps = enc.leaves(t)
-                _, i, o = enc.concat([(p, *c) for p, c in zip(ps, enc.encode_leaves(ps), strict=True)])
-                ids.append(i)
-                begins.append([x for x, _ in o])
-                ends.append([y for _, y in o])
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("d", "u", "n", "t")), pa.array(ids, ints), pa.array(begins, ints), pa.array(ends, ints)],
-                names=["d", "u", "n", "t", "ids", "begins", "ends"],
-            )
-
-    coded = cut.mapInArrow(blocks, f"d {d_type}, u bigint, n int, t string, ids array<int>, begins array<int>, ends array<int>")
-
-    def joined(key, pdf):
-        import pandas as pd
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([enc.tree(t).ids for t in batch.column("t").to_pylist()], ints)], names=["d", "u", "n", "t", "ids"])
+
+    schema = f"d {d_type}, u bigint, n int, t string, ids array<int>"
+    coded = cut.mapInArrow(blocks, schema)
 
+    def joined(pdf):
         enc = TreeEncoder(path, leaf_chars)
         pdf = pdf.sort_values("n")
-        parts = [(t, list(map(int, i)), [(int(x), int(y)) for x, y in zip(b, e, strict=True)]) for t, i, b, e in zip(pdf["t"], pdf["ids"], pdf["begins"], pdf["ends"], strict=True)]
-        return pd.DataFrame({"d": [pdf["d"].iloc[0]], "ids": [enc.concat(parts)[1]]})
+        got = enc.concat([enc.coded(t, i) for t, i in zip(pdf["t"], pdf["ids"], strict=True)])
+        return pdf.iloc[:1].assign(n=[int(pdf["n"].iloc[0]) // FAN], t=[got.text.decode("utf-8")], ids=[got.ids])
 
-    far = coded.groupBy("u").applyInPandas(joined, f"d {d_type}, ids array<int>")
-    return out.unionByName(far).select(F.col("d").alias(doc_id), "ids")
+    # A tree of tasks: each joins up to FAN neighbours, until one row a text is left; the last level's row is the result's own.
+    for _ in range(max(1, math.ceil(math.log(MOST_CHARS / block, FAN)))):
+        coded = coded.groupBy("u", F.expr(f"n div {FAN}").alias("_g")).applyInPandas(lambda key, pdf: joined(pdf), schema)
+    return out.unionByName(coded.select("d", "ids")).select(F.col("d").alias(doc_id), "ids")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS) -> DataFrame:
     """``keep`` columns and ``n_tokens`` of every row, in one pass; null and empty text have 0."""
-    path = f"{tokenizers}/{vocabulary}.json"
+    path = f"{tokenizers}/{vocabulary}.tiktoken"
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", n_tokens bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TreeEncoder(path)
         for batch in batches:
-            n = [len(x) for _, _, ids in enc.chunks(batch.column("_text").to_pylist()) for x in ids]
+            n = [len(enc.encode(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     return rows.mapInArrow(count, schema)
