@@ -19,41 +19,45 @@ VOTES = ["title", "coverage", "manager", "objective", "assets", "period", "rival
 FIRST_GUESS = np.array([[1.2, 0.6, 0.5, 0.4, 1.0, 0.7, 0.3], [4.0, 1.0, 0.7, 0.5, 2.0, 1.0, 2.5]])
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, unit``: the least node of each connected component; ``edges``: ``node, hub`` (two kinds of things).
 
-    The least label spreads from nodes over hubs until nothing changes; each step
-    is two aggregations with map-side combine, so a hot hub meets in no task.
+    Each round every node takes the least label within its hubs, hands it to the
+    node its own label names, and then takes its label's label (pointer jumping),
+    so a chain of n nodes is done in about log n rounds; rounds go on until no
+    label moves.  All steps are aggregations with map-side combine and joins by
+    node, so a hot hub meets in no task.
     """
     edges = written(edges.where("node is not null and hub is not null").distinct(), "edges")
     label = edges.select("node", F.col("node").alias("unit")).distinct()
-    for _ in range(most):
-        new = label
-        for _ in range(2):  # two steps a round: fewer jobs for the driver to plan and keep
-            hub = edges.join(new, "node").groupBy("hub").agg(F.min("unit").alias("unit"))
-            new = edges.join(hub, "hub").groupBy("node").agg(F.min("unit").alias("unit"))
-        new = new.withColumnRenamed("unit", "new")
-        step = written(label.join(new, "node").select("node", F.least("unit", "new").alias("unit"), (F.col("new") < F.col("unit")).alias("moved")), "labels")
+    while True:
+        hub = edges.join(label, "node").groupBy("hub").agg(F.min("unit").alias("unit"))
+        near = edges.join(hub, "hub").groupBy("node").agg(F.min("unit").alias("low"))
+        both = label.join(near, "node").select("node", "unit", F.least("unit", "low").alias("low"))
+        told = both.select("node", F.col("unit").alias("old"), "low").unionByName(both.where("low < unit").select(F.col("unit").alias("node"), F.lit(None).cast(label.schema["unit"].dataType).alias("old"), "low"))
+        told = told.groupBy("node").agg(F.max("old").alias("old"), F.min("low").alias("low"))
+        root = told.select(F.col("node").alias("low"), F.col("low").alias("root"))
+        step = told.join(root, "low").select("node", F.col("root").alias("unit"), (F.col("root") < F.col("old")).alias("moved"))
+        step = written(step, "labels")
         label = step.select("node", "unit")
         if step.where("moved").isEmpty():
-            break
-    return label
+            return label
 
 
 def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ps = [fund(fold(t)) for t in batch.column("title").to_pylist()]
+        ps = [fund(fold(t), repair=True) for t in batch.column("title").to_pylist()]
         keys = [_keys(p) for p in ps]
         cols = [pa.array([getattr(p, f) for p in ps], pa.string()) for f in ("l", "a", "s")]
         yield pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array(keys, pa.list_(pa.string()))], names=[*batch.schema.names, "l", "a", "s", "keys"])
 
 
 def _keys(p: Parts) -> list[str]:
-    """Blocking keys: the exact title, a family with the head of the style, a style under a family less one letter."""
+    """Blocking keys: family and first four letters of the style (what a cut title keeps), and the whole title less any one letter (what one slip leaves)."""
     if not p.l:
         return []
-    cuts = {p.l, *(p.l[:i] + p.l[i + 1 :] for i in range(len(p.l)))}
-    return [f"{p.l}|{p.a[:4]}|{p.s}", *sorted(f"~{c}|{p.a}|{p.s}" for c in cuts)]
+    whole = p.l + p.a
+    return [f"{p.l}|{p.a[:4]}|{p.s}", *sorted({f"~{whole[:i]}{whole[i + 1 :]}|{p.s}" for i in range(len(whole))} | {f"~{whole}|{p.s}"})]
 
 
 def _firms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def link_funds(left: DataFrame, right: DataFrame, most: int = 1) -> DataFrame:
     lf, rf = (by.where(f"side = {i}").select(F.col("who").alias(n), "form", "n") for i, n in enumerate(("fund", "unit")))
     la, ra = (about.where(f"side = {i}").withColumnRenamed("who", n).drop("side") for i, n in enumerate(("fund", "unit")))
     of = by.groupBy("form").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-    keyed = written(forms.join(of, "form").select("form", "l", "a", "s", "lo", "hi", F.explode("keys").alias("key")), "keys")
+    keyed = written(forms.join(of, "form").select("form", "l", "a", "s", "lo", "hi", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key")), "keys")
     x, y = (keyed.where(w).select("key", *[F.col(c).alias(("f" if c == "form" else c) + i) for c in ("form", "l", "a", "s")]) for w, i in (("lo = 0", "x"), ("hi = 1", "y")))
     met = x.join(y, "key").drop("key").dropDuplicates(["fx", "fy"])
     near = met.where("fx != fy").mapInArrow(_likeness, "fx bigint, fy bigint, near boolean")

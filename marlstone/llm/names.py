@@ -21,12 +21,7 @@ NICKNAMES = {
     "STEVE": "STEPHEN", "SUE": "SUSAN", "SUSIE": "SUSAN", "TED": "THEODORE", "TERRY": "TERENCE", "TIM": "TIMOTHY", "TOM": "THOMAS", "TONY": "ANTHONY",
     "VICKY": "VICTORIA", "VICKI": "VICTORIA", "WALT": "WALTER", "WILL": "WILLIAM",
 }
-# Given names without a short form above, to tell FIRST LAST from LAST FIRST in capitals.
-GIVEN = set(NICKNAMES.values()) | set(
-    """OLGA MARTIN JONAS CHEN HANNA CLAIRE GRACE COLLEEN YVONNE ESTHER DENNIS FRANZ BRUNO XAVIER INGRID ADRIAN MARK KARL ISABEL ZOLTAN VIKRAM
-    HIROSHI BRENDA PRIYA OSCAR QUENTIN HENRIK IVAN LUDMILA GUNNAR RUTH URSULA SVEN YUSUF TAMARA LARS PAUL MARY LINDA KAREN NANCY ANNA MARIA LAURA
-    GEORGE BRIAN KEVIN JASON ERIC SCOTT FRANK AMY ANGELA HELEN""".split()
-)
+GIVEN = set(NICKNAMES.values())
 TITLES = {"MR", "MRS", "MS", "DR", "HON", "PROF", "SIR"}
 DEGREES = {"ESQ", "PHD", "MD", "CPA", "CFA", "MBA", "JD"}
 SUFFIXES = {"JR", "SR", "II", "III", "IV"}
@@ -47,6 +42,7 @@ FIRM = {"MANAGEMENT": "MGT MGMT", "ADVISORS": "ADV ADVS ADVISERS", "PARTNERS": "
 LEGAL = {"INC", "LLC", "LTD", "LP", "LLP", "CORP", "CO", "PLC", "THE"}
 DESIGNATORS = {"II", "III", "IV", "V", "VIP", "K"}
 _SHORT = {s: w for w, ss in WORDS.items() for s in [w, *ss.split()]}
+SPELLED = frozenset(_SHORT.values())
 _FIRM_SHORT = {s: w for w, ss in FIRM.items() for s in [w, *ss.split()]}
 _ROWS = {c: (r, i) for r, s in enumerate(("QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM")) for i, c in enumerate(s)}
 _LOOKALIKE = str.maketrans({"0": "O", "1": "L", "5": "S", "8": "B"})
@@ -106,15 +102,9 @@ def word(t: str) -> str | None:
     return near[0] if len(near) == 1 else None
 
 
-@lru_cache(maxsize=1 << 15)
 def given(t: str) -> str:
-    """A given name in full, from its short form or with one slip put right."""
-    if t in NICKNAMES:
-        return NICKNAMES[t]
-    if t in GIVEN or len(t) < 3:
-        return t
-    near = [g for g in sorted(GIVEN) if g[0] in t[:2] and typo(t, g)]
-    return near[0] if len(near) == 1 else t
+    """A given name in full, where it is typed as a short form."""
+    return NICKNAMES.get(t, t)
 
 
 def fold(name: str) -> str:
@@ -131,8 +121,9 @@ _CLASS = re.compile(r"\s*(?:[;/]\s*(?:CLASS )?(?:[A-Z]|R6|INVESTOR)(?: SHARES)?|
 _CODE = re.compile(r"^(?:\d{4}|[A-Z]\d{4}) (?=\D)")
 
 
-def fund(s: str) -> Parts:
-    """Family, style and designators of a folded fund title."""
+def fund(s: str, repair: bool = False) -> Parts:
+    """Family, style words and designators of a folded fund title; short forms are spelled out, with ``repair`` slips in them too."""
+    spelled = word if repair else _SHORT.get
     turned = re.search(r"^[^,]+\b(?:FUND|FD|FND|\w{2,4}), *([A-Z0-9]+)$", s)
     s = _NOTE.sub("", s if turned else _CODE.sub("", s)).replace("'", "")
     s = _HEAD.sub(lambda m: m.group(0).split(" ")[0] + " ", s) if not s.count(":") else re.sub(r"^[^:]*: ?", "", s) if _HEAD.match(s) is None else _keep_family(s)
@@ -151,19 +142,23 @@ def fund(s: str) -> Parts:
             marks.append("SERIES" + t)
         elif t in ("SERIES", "SER") and i < last and len(toks[i + 1]) == 1:
             continue
-        elif i > 1 and (t in ("F", "FU", "FUN") and i == last or t[0] == "F" and len(t) <= 5 and (typo(t, "FND") or typo(t, "FUND") or set(t) == {"F", "D"})):
+        elif i > 1 and (t in ("F", "FU", "FUN") and i == last or repair and like_fund(t)):
             has = True
-        elif not family and not t.isdigit() and (word(t) is None or turned):
+        elif not family and not t.isdigit() and (spelled(t) is None or turned):
             if t != "THE":
                 family = t
-        elif (w := word(t)) is not None:
+        elif (w := spelled(t)) is not None:
             if w in _FUND_WORD:
                 has = True
             elif w not in ("TRUST", "FUNDS"):
                 style.append(w)
         elif t != "THE":
             style.append(t)
-    return Parts("F", "".join(style), "", family.translate(_LOOKALIKE), "".join(sorted(marks)), 2 * has + bool(family))
+    return Parts("F", ("" if repair else " ").join(style), "", family.translate(_LOOKALIKE), "".join(sorted(marks)), 2 * has + bool(family))
+
+
+def like_fund(t: str) -> bool:
+    return t[:1] == "F" and len(t) <= 5 and (typo(t, "FND") or typo(t, "FUND") or set(t) == {"F", "D"})
 
 
 def _keep_family(s: str) -> str:
@@ -176,10 +171,11 @@ def firm(s: str) -> Parts:
     s = re.sub(r"\b([A-Z])\.", r"\1", _NOTE.sub("", s).replace("L.P", "LP").replace("L P", "LP"))
     toks = [t for t in re.findall(r"[A-Z0-9]+|&", s) if t not in LEGAL and t != "GROUP"]
     out = [_FIRM_SHORT.get(t, t) for t in toks]
-    return Parts("M", "".join(out[1:]), "", (out[0] if out else "").translate(_LOOKALIKE), "", 2)
+    return Parts("M", " ".join(out[1:]), "", (out[0] if out else "").translate(_LOOKALIKE), "", 2)
 
 
-def person(s: str, capitals: bool) -> Parts:
+def _person_words(s: str) -> tuple[list[str], list[str], str]:
+    """Words before and after the comma of a folded name without titles and degrees, and its suffixes."""
     s = re.sub(r"\b(PH)\.\s?D\b\.?|\b(M)\.D\b\.?", lambda m: "PHD" if m.group(1) else "MD", re.sub(r",? C/O .*$", "", s))
     head, _, tail = s.partition(",")
     full = {"JUNIOR": "JR", "SENIOR": "SR"}
@@ -190,10 +186,15 @@ def person(s: str, capitals: bool) -> Parts:
     left, right = [t for t in left if t not in drop], [t for t in right if t not in drop]
     while left and left[0] in TITLES:
         left = left[1:]
-    left, right = [t.translate(_LOOKALIKE) for t in left], [t.translate(_LOOKALIKE) for t in right]
+    return [t.translate(_LOOKALIKE) for t in left], [t.translate(_LOOKALIKE) for t in right], marks
+
+
+def person(s: str, capitals: bool, lean: int = 0) -> Parts:
+    """A folded name of a person; ``lean``: how much likelier its first word is a given name than its last (all in capitals, either may come first)."""
+    left, right, marks = _person_words(s)
     if right:
         firsts, last = right, left
-    elif capitals and len(left) > 1 and (len(left[-1]) == 1 or (given(left[0]) not in GIVEN and len(left[0]) > 1)):
+    elif capitals and len(left) > 1 and (len(left[-1]) == 1 or (len(left[0]) > 1 and lean <= 0)):
         firsts, last = left[1:], left[:1]
     else:
         firsts, last = left[:-1], left[-1:]
@@ -205,21 +206,57 @@ def person(s: str, capitals: bool) -> Parts:
 _FIRMISH = re.compile(r"\b(?:MANAGEMENT|MGT|MGMT|ADVISORS|ADVS?|PARTNERS|PTNRS|LLC|L\.?P|LTD|AFFILIATES|SUBSIDIARIES|CORP)\b|\bGROUP$")
 
 
-def parse(name: str, is_fund: bool = False) -> Parts:
-    """Parts of one stored name; ``is_fund``: its field holds nothing but fund titles."""
-    s = fold(name)
+def kind_of(name: str, s: str, is_fund: bool) -> str:
+    """What a name (``s``: folded) names: F fund, M manager, P person, C person all in capitals, O nothing."""
     if not s:
-        return Parts("O", "", "", "", "", 0)
+        return "O"
     if is_fund:
-        return fund(s)
+        return "F"
     if _FIRMISH.search(s):
-        return firm(s)
+        return "M"
     toks = re.findall(r"[A-Z0-9&]+", s)
-    known = sum(1 for t in toks if len(t) > 2 and word(t) is not None)
-    if known >= 2 or (known and re.search(r"\b(?:FUND|FD|FND)\b", s)) or (len(toks) > 3 and known and any(t.isdigit() for t in toks)):
-        return fund(s)
+    known = sum(1 for t in toks if len(t) > 2 and (word(t) is not None or like_fund(t)))
+    if known >= 2 or (known and any(t in ("FUND", "FD", "FND") for t in toks)) or (len(toks) > 3 and known and any(t.isdigit() for t in toks)):
+        return "F"
     letters = [c for c in re.sub(r"(?i)\b(jr|sr|iii?|iv|esq|ph\.?d|m\.?d|cpa)\b|, c/o.*$", "", name) if c.isalpha()]
-    return person(s, bool(letters) and all(c.isupper() for c in letters))
+    return "C" if letters and all(c.isupper() for c in letters) else "P"
+
+
+def parse(name: str, is_fund: bool = False, lean: int | None = None) -> Parts:
+    """Parts of one stored name; ``is_fund``: its field holds nothing but fund titles; ``lean``: see :func:`person`."""
+    s = fold(name)
+    kind = kind_of(name, s, is_fund)
+    if kind == "O":
+        return Parts("O", "", "", "", "", 0)
+    if kind == "F":
+        return fund(s)
+    if kind == "M":
+        return firm(s)
+    if lean is None:
+        a, b = ends(s)
+        lean = (given(a) in GIVEN) - (given(b) in GIVEN)
+    return person(s, kind == "C", lean)
+
+
+def ends(s: str) -> tuple[str, str]:
+    """First and last word of a folded person's name."""
+    left, right, _ = _person_words(s)
+    return (left[0], left[-1]) if left and not right else ("", "")
+
+
+def order_shown(name: str, is_fund: bool) -> list[tuple[str, int]]:
+    """``(word, 1)`` for given names and ``(word, -1)`` for surnames of a name whose writing shows which is which."""
+    s = fold(name)
+    if kind_of(name, s, is_fund) not in "PC":
+        return []
+    left, right, _ = _person_words(s)
+    if right:
+        firsts, last = right[:1], left[-1:]
+    elif kind_of(name, s, is_fund) == "P" and len(left) > 1:
+        firsts, last = left[:1], left[-1:]
+    else:
+        return []
+    return [(given(t), 1) for t in firsts if len(t) > 1] + [(t, -1) for t in last if len(t) > 1]
 
 
 def jaro_winkler(a: str, b: str) -> float:

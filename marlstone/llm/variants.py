@@ -9,32 +9,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.minhash import Bands, bands_for
-from marlstone.llm.names import Parts, monge_elkan, parse, typo
+from marlstone.llm.names import SPELLED, Parts, ends, fold, given, kind_of, like_fund, monge_elkan, order_shown, parse, typo, word
 from marlstone.session import written
 
-#: A true pair's q-gram similarity after one slip or with an initial for a given name, and the recall wanted there.
-SIMILARITY, RECALL, ROWS = 0.55, 0.98, 3
+#: The least q-gram similarity of a pair to be linked (one slip, or an initial for a given name), and the recall wanted there.
+SIMILARITY, RECALL, ROWS = 0.5, 0.98, 3
+#: How much more q-grams of surnames and family names weigh than those of given names and styles, which many share.
+WEIGHT = 3
 
 
 def grams(p: Parts, q: int = 3) -> set[str]:
-    """Padded q-grams of what tells names apart: surname and the head of the given name; the head of a fund's or firm's name."""
-    def of(w: str, tail: bool = True) -> set[str]:
-        w = "#" * (q - 1) + w + "#" * ((q - 1) * tail)
+    """Padded q-grams of all words of a name, those of the surname or family name ``WEIGHT`` times."""
+    def of(w: str) -> set[str]:
+        w = "#" * (q - 1) + w + "#" * (q - 1)
         return {w[i : i + q] for i in range(len(w) - q + 1)}
 
-    if p.kind == "P":
-        return of(p.l) | {"1" + g for g in of(p.a[:4], False)}
-    return of((p.l + p.a)[:12], False) | {f"{i}:{p.a[:5]}" for i in range(2)}
+    name = of(p.l)
+    return {f"{i}{g}" for i in range(WEIGHT) for g in name} | {"_" + g for w in p.a.split(" ") if w for g in of(w)}
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shown = [x for n, f in zip(batch.column("name").to_pylist(), batch.column("is_fund").to_pylist(), strict=True) for x in order_shown(n, f)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in shown], pa.string()), pa.array([v for _, v in shown], pa.int64())], names=["word", "vote"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = []
+        for n, f in zip(batch.column("name").to_pylist(), batch.column("is_fund").to_pylist(), strict=True):
+            s = fold(n)
+            a, b = ends(s) if kind_of(n, s, f) == "C" else ("", "")
+            both.append((given(a), given(b)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in both], pa.string()), pa.array([b for _, b in both], pa.string())], names=[*batch.schema.names, "first", "last"])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, fund = batch.column("name").to_pylist(), batch.column("is_fund").to_pylist()
-        ps = [parse(n, f) for n, f in zip(names, fund, strict=True)]
+        names, fund, lean = (batch.column(c).to_pylist() for c in ("name", "is_fund", "lean"))
+        ps = [parse(n, f, v) for n, f, v in zip(names, fund, lean, strict=True)]
         cols = [batch.column("name"), batch.column("n"), *(pa.array([getattr(p, f) for p in ps], pa.string()) for f in ("kind", "a", "m", "l", "s"))]
         yield pa.RecordBatch.from_arrays([*cols, pa.array([p.whole for p in ps], pa.int32())], names=["name", "n", "kind", "a", "m", "l", "s", "whole"])
 
 
+def readings(names: DataFrame) -> DataFrame:
+    """``name, n, kind, a, m, l, s, whole``: the parts of each name, short forms spelled out.
+
+    In a name all in capitals without a comma either order is possible: its first
+    and last word are looked up among the words that other names show to be given
+    names or surnames.  No other word is corrected or replaced here.
+    """
+    votes = names.select("name", "is_fund").mapInArrow(_evidence, "word string, vote bigint").groupBy("word").agg(F.signum(F.sum("vote")).cast("int").alias("v"))
+    votes = written(votes, "order")
+    both = written(names.select("name", "is_fund", "n").mapInArrow(_ends, "name string, is_fund boolean, n bigint, first string, last string"), "ends")
+    v = lambda c: votes.select(F.col("word").alias(c), F.col("v").alias("v_" + c))
+    leaning = both.where("first != ''").join(v("first"), "first", "left").join(v("last"), "last", "left")
+    leaning = leaning.select("name", "is_fund", "n", (F.coalesce("v_first", F.lit(0)) - F.coalesce("v_last", F.lit(0))).alias("lean"))
+    rest = both.where("first = ''").select("name", "is_fund", "n", F.lit(0).alias("lean"))
+    return leaning.unionByName(rest).mapInArrow(_parsed, "name string, n bigint, kind string, a string, m string, l string, s string, whole int")
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands = Bands(ROWS, bands_for(SIMILARITY, RECALL, ROWS))
     for batch in batches:
@@ -51,33 +85,50 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        side = [list(zip(*(batch.column(c + i).to_pylist() for c in ("kind", "a", "m", "l", "s")), strict=True)) for i in "xy"]
-        scores = [_score(Parts(*x, 0), Parts(*y, 0)) for x, y in zip(*side, strict=True)]
+        side = [list(zip(*(batch.column(c + i).to_pylist() for c in ("kind", "a", "m", "l", "s", "whole")), strict=True)) for i in "xy"]
+        scores = [_score(Parts(*x), Parts(*y)) for x, y in zip(*side, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("idx"), batch.column("idy"), pa.array(scores, pa.float64())], names=["idx", "idy", "score"])
 
 
+def _same_word(x: str, y: str) -> bool:
+    """Two words of titles that are one but for a slip, in the word or in its short form."""
+    return x == y or typo(x, y) or (x not in SPELLED and word(x) == y) or (y not in SPELLED and word(y) == x)
+
+
+def _words(p: Parts) -> list[str]:
+    return [w for w in p.a.split(" ") if w and not like_fund(w)]
+
+
 def _score(x: Parts, y: Parts) -> float:
-    """Monge-Elkan similarity of a pair that one slip, an initial or a cut explains; 0 for any other pair."""
+    """Monge-Elkan similarity of two names; 0 where some word of one has no counterpart in the other.
+
+    A counterpart is the same word, one slip away, an initial of it, or - the last
+    word of a title - its beginning; all words run together may also be one slip apart.
+    """
     if x.kind == "P":
-        first = x.a == y.a or (min(len(x.a), len(y.a)) == 1 and x.a[0] == y.a[0])
-        if not ((first and typo(x.l, y.l)) or (x.l == y.l and typo(x.a, y.a))):
+        fits = x.a == y.a or typo(x.a, y.a) or (min(len(x.a), len(y.a)) == 1 and x.a[0] == y.a[0])
+        if not (fits and (x.l == y.l or typo(x.l, y.l))):
             return 0.0
         return monge_elkan([t for t in (x.a, x.m, x.l) if t and (t != x.m or y.m)], [t for t in (y.a, y.m, y.l) if t and (t != y.m or x.m)])
-    cut = x.l == y.l and min(len(x.a), len(y.a)) >= 4 and (x.a.startswith(y.a) or y.a.startswith(x.a))
-    slip = (x.a == y.a and typo(x.l, y.l)) or (x.l == y.l and typo(x.a, y.a)) or typo(x.l + x.a, y.l + y.a) or x.l + x.a == y.l + y.a
-    if not (cut or slip):
-        return 0.0
-    return max(monge_elkan([x.l, x.a or x.l], [y.l, y.a or y.l]), monge_elkan([x.l + x.a], [y.l + y.a]))
+    a, b = _words(x), _words(y)
+    ax, ay = "".join(a), "".join(b)
+    near = len(a) == len(b) and (x.l == y.l or typo(x.l, y.l)) and all(map(_same_word, a, b))
+    cut = x.l == y.l and min(len(ax), len(ay)) >= 4 and ((ax.startswith(ay) and y.whole < 2) or (ay.startswith(ax) and x.whole < 2))
+    one, two = x.l + x.a.replace(" ", ""), y.l + y.a.replace(" ", "")
+    if near or cut or typo(one, two):
+        return max(monge_elkan([x.l, *a], [y.l, *b]), monge_elkan([x.l, ax or x.l], [y.l, ay or y.l]), monge_elkan([x.l + ax], [y.l + ay]))
+    # The blank before the word fund may have slipped too.
+    ends = [(u, v) for u in (one, one + "FUND") for v in (two, two + "FUND") if typo(u, v)]
+    return max((monge_elkan([u], [v]) for u, v in ends), default=0.0)
 
 
 def _plausible() -> Column:
     """A cheap superset of what :func:`_score` accepts, evaluated inside the join."""
     return F.expr(
         """kindx = kindy and sx = sy and case when kindx = 'P'
-           then (mx = '' or my = '' or mx = my)
-                and ((lx = ly and (ax = ay or levenshtein(ax, ay, 2) >= 0 or (least(length(ax), length(ay)) = 1 and left(ax, 1) = left(ay, 1))))
-                  or (levenshtein(lx, ly, 2) >= 0 and (ax = ay or (least(length(ax), length(ay)) = 1 and left(ax, 1) = left(ay, 1)))))
-           else levenshtein(concat(lx, ax), concat(ly, ay), 2) >= 0
+           then (mx = '' or my = '' or mx = my) and levenshtein(lx, ly, 2) >= 0
+                and (levenshtein(ax, ay, 2) >= 0 or (least(length(ax), length(ay)) = 1 and left(ax, 1) = left(ay, 1)))
+           else levenshtein(concat(lx, ax), concat(ly, ay), 6) >= 0
                 or (lx = ly and least(length(ax), length(ay)) >= 4 and (wholex < 2 or wholey < 2)
                     and ((startswith(ax, ay) and wholey < 2) or (startswith(ay, ax) and wholex < 2))) end"""
     )
@@ -95,18 +146,18 @@ def stored_names(fields: list[tuple[DataFrame, str, bool]]) -> DataFrame:
     return out.groupBy("name").agg(F.max("is_fund").alias("is_fund"), F.sum("n").alias("n"))
 
 
-def link_variants(names: DataFrame, context: DataFrame | None = None, least: float = 0.8, rounds: int = 12) -> DataFrame:
+def link_variants(names: DataFrame, context: DataFrame | None = None, least: float = 0.8) -> DataFrame:
     """``name, cluster`` of every name: names of one cluster denote one person, fund or manager.
 
     ``names``: ``name, is_fund, n`` (see :func:`stored_names`); ``context``: ``name,
     place`` - where a name occurs, to choose among several possible bearers of a
     shortened name.
 
-    Names are read into parts (short forms spelled out) and equal readings become
-    one form.  Forms meet in MinHash bands over their padded q-grams, as many bands
-    as the collision curve asks for; a pair must differ by one slip, an initial, a
-    left-out middle name or a cut title, and have a Monge-Elkan similarity of
-    ``least``.  Star clustering: the fullest, best connected form of a
+    Names are read into parts (see :func:`readings`) and equal readings become
+    one form.  Forms meet in MinHash bands over the padded q-grams of all their
+    words, as many bands as the collision curve asks for; each word of a pair must
+    have its counterpart (see :func:`_score`) and the pair a Monge-Elkan similarity
+    of ``least``.  Star clustering: the fullest, best connected form of a
     neighbourhood is its centre, its neighbours are satellites of one centre - of
     several, that with most places in common, then the most frequent.
 
@@ -114,8 +165,7 @@ def link_variants(names: DataFrame, context: DataFrame | None = None, least: flo
     names are clusters of their own.  Large bands are split by the adaptive skew
     join; nothing is capped.
     """
-    spark = names.sparkSession
-    read = written(names.select("name", "is_fund", "n").mapInArrow(_parsed, "name string, n bigint, kind string, a string, m string, l string, s string, whole int"), "names")
+    read = written(readings(names), "names")
     id_ = F.xxhash64("kind", "a", "m", "l", "s", F.when(F.col("kind") == "O", F.col("name")).otherwise(""), F.when((F.col("kind") != "P"), F.col("whole") >= 2))
     read = read.withColumn("id", id_)
     forms = read.where("kind != 'O' and l != ''").groupBy("id", "kind", "a", "m", "l", "s").agg(F.max("whole").alias("whole"), F.sum("n").alias("n"))
@@ -136,7 +186,7 @@ def link_variants(names: DataFrame, context: DataFrame | None = None, least: flo
     graph = written(both.join(ru, "u").join(rv, "v"), "graph")
 
     centres, open_ = None, graph.select("u", "v", "ru", "rv")
-    for _ in range(rounds):
+    while True:  # each round closes at least the best form still open
         # A form is a centre once no open neighbour outranks it; its neighbours close with it.
         best = open_.groupBy("u").agg(F.max("ru").alias("ru"), F.max("rv").alias("rv"))
         new = written(best.where("ru > rv").select("u"), "centres")

@@ -6,6 +6,9 @@ import numpy as np
 
 from marlstone.llm import linkage
 from marlstone.llm.label_model import LabelModel
+from marlstone.llm.names import fold, fund
+from marlstone.llm.variants import _score
+from marlstone.session import table
 
 
 def test_label_model_learns_accuracies_and_correlation():
@@ -33,6 +36,30 @@ def test_components(spark):
     assert {v for k, v in got.items() if k >= 100} == {100}
 
 
+def test_components_of_long_chains(spark):
+    """400 classes in a chain, labelled in no order: rounds grow with the logarithm, nothing stays apart."""
+    ids = [(i * 7919) % 4001 + 1 for i in range(400)]
+    rows = [(ids[i], f"h{i}") for i in range(399)] + [(ids[i + 1], f"h{i}") for i in range(399)] + [(9000, "z")]
+    got = {r["node"]: r["unit"] for r in linkage.components(spark.createDataFrame(rows, "node long, hub string")).collect()}
+    assert {got[i] for i in ids} == {min(ids)} and got[9000] == 9000
+    assert linkage.components(spark.createDataFrame([], "node long, hub string")).count() == 0
+
+
+def test_candidates_against_all_pairs(spark):
+    """Of all pairs of titles that verify, how many share a blocking key."""
+    titles = {r[0] for r in table(spark, "/root/testdata/sf0.01", "split_s12").select("fundname").distinct().collect() if r[0]}
+    titles |= {r[0] for r in table(spark, "/root/testdata/sf0.01", "portnomap").select("fund_name").distinct().collect() if r[0]}
+    forms = sorted({fund(fold(t), repair=True)._replace(whole=0) for t in titles if t.strip()})
+    keys = [set(linkage._keys(p)) for p in forms]
+    met = like = 0
+    for i, x in enumerate(forms):
+        for j in range(i):
+            y = forms[j]
+            if x.s == y.s and x.l and y.l and _score(x, y) >= 0.8:
+                like, met = like + 1, met + (not keys[i].isdisjoint(keys[j]))
+    assert like > 20 and met / like >= 0.97
+
+
 SIDE = "title string, manager string, objective string, n long, log_sum double, log_n long, first date, last date"
 
 
