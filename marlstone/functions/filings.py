@@ -81,7 +81,8 @@ class _Grid(HTMLParser):
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self._close()
-            self.cell, self.span = [], min(int(dict(attrs).get("colspan") or 1) if str(dict(attrs).get("colspan") or 1).isdigit() else 1, 50)
+            span = str(dict(attrs).get("colspan") or 1)
+            self.cell, self.span = [], int(span) if span.isdecimal() else 1
         elif tag == "br" and self.cell is not None:
             self.cell.append(" ")
 
@@ -107,7 +108,7 @@ def html_tables(text: str) -> list[list[list[str]]]:
     return g.tables
 
 
-_BAR = re.compile(r"^([^|\n]{3,80}) \| ([^|\n]{2,60}) \| ([\d,]+) \| ([\d,]+) \| ([\d.]+)%", re.M)
+_BAR = re.compile(r"^([^|\n]+) \| ([^|\n]+) \| ([\d,]+) \| ([\d,]+) \| ([\d.]+)%", re.M)
 
 
 def ownership(text: str) -> list[dict]:
@@ -129,14 +130,21 @@ def ownership(text: str) -> list[dict]:
     return out
 
 
-_PERSON = re.compile(r"(?:Name \| Age \| Position: )?([A-Z][^|\n:]{2,60}?) \| (\d{2}) \| ([A-Za-z][A-Za-z ,]{2,60}?)(?=$|\n| {2}|\. |[A-Z][a-z]+ [a-z])", re.M)
+_AGE = re.compile(r" \| (\d{2}) \| ")
+_POSITION = re.compile(r"([A-Za-z][A-Za-z ,]*?)(?=$|\n| {2}|\. |[A-Z][a-z]+ [a-z])", re.M)
 
 
 def people(text: str) -> list[dict]:
-    """Name, age and position of management rows, in order."""
-    return [
-        {"seq": i, "name": m[1].strip(), "age": int(m[2]), "position": m[3].strip(), "is_ceo": bool(re.search(r"chief executive|\bCEO\b", m[3], re.I))} for i, m in enumerate(_PERSON.finditer(text))
-    ]
+    """Name, age and position of management rows, in order: an age between bars, a name before it, a position after it, of any length."""
+    out, done = [], 0
+    for m in _AGE.finditer(text):
+        begin = max(done, *(text.rfind(c, done, m.start()) + 1 for c in "|\n:"))
+        name, position = re.search(r"[A-Z].*$", text[begin : m.start()]), _POSITION.match(text, m.end())
+        if name and position:
+            is_ceo = bool(re.search(r"chief executive|\bCEO\b", position[1], re.I))
+            out.append({"seq": len(out), "name": name[0].strip(), "age": int(m[1]), "position": position[1].strip(), "is_ceo": is_ceo})
+            done = position.end()
+    return out
 
 
 def submission_documents(text: str) -> list[dict]:
@@ -176,19 +184,43 @@ def series_classes(text: str) -> list[dict]:
     return out
 
 
-def percent_of_class(text: str, windows: tuple[int, ...] = (3, 6, 9, 12, 15)) -> float | None:
-    """The percentage after "percent of class", looked for in ever more lines; row numbers and values over 100 don't count."""
-    lines = text.split("\n")
-    starts = [i for i, line in enumerate(lines) if re.search(r"percent(?:age)?\s+of\s+class", line, re.I)]
-    for w in windows:
-        found = []
+# A percentage of a cover page, tried in this order; what stands for none; how many lines are read after the word.
+PERCENTS = [re.compile(p) for p in (r"(\d{1,4}(?:[.,]\d{0,7})?\s?%|\d{0,3}(?:\.\d{1,7})?\s?%)", r"-0-", r"\d{0,3}\.\d{1,7}")]
+NO_PERCENT = re.compile(r"\bnone\b|\bn/a\b|\bless\b|-0-|lessthan5%", re.I)
+PERCENT_LINES = (3, 6, 9, 12, 15)
+
+
+def percent_of_class(text: str) -> float:
+    """The largest percentage of a 13D or 13G cover, 0 if there is none.
+
+    After every line with the word percent 3 lines are read, then 6 and so on until
+    some number is found: with a percent sign, else a bare decimal; none, n/a and
+    -0- are 0.  A row number run into its value (9 or 11 before it) is taken off;
+    what is still over 100 does not count.
+    """
+    lines = [line for line in text.split("\n") if line.strip()]
+    starts = [i for i, line in enumerate(lines) if "percent" in line.lower()]
+    for n in PERCENT_LINES:
+        found: list[str] = []
         for i in starts:
-            for line in lines[i : i + w]:
-                body = re.sub(r"^\s*\(?\d{1,2}[.)]\s+", "", line)
-                found += [float(x) for x in re.findall(r"(\d{1,3}(?:\.\d+)?)\s*%", body) if float(x) <= 100]
+            t = " ".join(" \n".join(lines[i : i + 16]).split("\n")[:n])
+            t = re.sub(r"(?<=\s)\s+|^\s+|\s+$", "", t).replace("240.13", "").replace("-0-%", "0%")
+            t = NO_PERCENT.sub("0  %", t).lower()
+            found += next((hits for p in PERCENTS if (hits := [h for h in p.findall(t) if h])), [])
         if found:
-            return max(found)
-    return None
+            return max((v for v in map(_percent, found) if v is not None and 0 <= v <= 100), default=0.0)
+    return 0.0
+
+
+def _percent(s: str) -> float | None:
+    try:
+        v = float(s.replace("%", "").strip().replace(",", "."))
+    except ValueError:
+        return None
+    for unit, row, off in ((100, 9, 900), (100, 11, 1100), (10, 11, 110)):
+        if v // unit == row:
+            v -= off
+    return v
 
 
 def form4(text: str) -> list[dict]:

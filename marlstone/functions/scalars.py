@@ -44,10 +44,12 @@ def valid_year(text: ColumnLike, low: int = 1990, high: int = 2035) -> Column:
     return F.when(col(text).rlike(r"^\d{8}$") & F.year(d).between(low, high), F.year(d))
 
 
-def fiscal_year(filed: ColumnLike, grace_days: int = 10) -> Column:
-    """Filings up to ``grace_days`` after 14 February belong to the year before."""
-    limit = F.date_add(F.make_date(F.year(filed), F.lit(2), F.lit(14)), grace_days)
-    return F.when(col(filed) <= limit, F.year(filed) - 1).otherwise(F.year(filed)).cast("int")
+def fiscal_year(filed: ColumnLike, form: ColumnLike, percent: ColumnLike) -> Column:
+    """The year a block filing stands for: the year before, if filed up to 14 days after New Year, or - passive forms (13G) under 10 % - up to 10 days after 14 February."""
+    d = col(filed)
+    passive = F.coalesce(col(form).contains("SC 13G") & (col(percent) < 10), F.lit(False))
+    limit = F.when(passive, F.date_add(F.make_date(F.year(d), F.lit(2), F.lit(14)), 10)).otherwise(F.date_add(F.make_date(F.year(d), F.lit(1), F.lit(1)), 14))
+    return F.when(d <= limit, F.year(d) - 1).otherwise(F.year(d)).cast("int")
 
 
 def two_digit_year_date(text: ColumnLike, pivot: int = 68) -> Column:
@@ -105,29 +107,52 @@ def squeeze(c: ColumnLike) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
 
 
-def normalize_name(
-    c: ColumnLike, drop_former: bool = True, drop_parens: bool = True, fold_and: bool = True, drop_legal: bool = False, drop_code: bool = False
-) -> Column:
-    """Upper case, no punctuation, single blanks; optional rules are off unless asked for.
+# Patterns of the three ways to bring fund names into one form.
+LEGAL_SUFFIX = r"\b(INC|INCORPORATED|LLC|L L C|LP|L P|PLC|CORP|CORPORATION|LTD|LIMITED|N V|NV|S A|CO|COMPANY|THE)\b"
+FORMERLY = r"\((FORMERLY|FORMALLY|F/K/A|FKA|PREVIOUSLY|NEE)[^)]*\)"
+PARENTHESES = r"\(([^)]*)\)"
+ACRONYM_DOT = r"\b([A-Z])\."
+AMPERSAND_FOLD = [(r"\bSANDP\b", "S P"), (r"\bS AND P\b", "S P")]
+CODE_PREFIX = r"^\s*(?:[0-9]{4,6}|[0-9]{1,4}[A-Za-z]{1,4}[0-9A-Za-z]{0,3}|[A-Za-z]{1,4}[0-9]{1,4}[0-9A-Za-z]{0,3})\s+"
+DESIGNATOR = r"\b(?:SERIES|PORTFOLIO|FUND)\s+([A-Z0-9]{1,2})\b\s*$"
 
-    ``drop_code`` takes a leading series code of four characters that holds a digit and a blank after it;
-    a number that is the name's own first word (``500 Index Fund``) stays.
+
+def normalize_name(c: ColumnLike, variant: str = "l3b", drop_former: bool = True, drop_code: bool = False) -> Column:
+    """A fund's name as upper-case words.
+
+    All variants drop parentheses (former names too; ``l2`` may keep those apart),
+    punctuation, legal forms wherever they stand and doubled blanks, and write S&P
+    as ``S P``.  ``l2`` folds the ampersand after the legal forms, ``l3`` before,
+    ``l3b`` also joins dotted letters (U.S. as US) first.  ``drop_code`` takes a
+    leading series code.
     """
+    if variant not in ("l2", "l3", "l3b"):
+        raise ValueError(f"unknown variant {variant}")
+    steps: list[tuple[str, str]] = [(CODE_PREFIX, "")] if drop_code else []
+    if drop_former or variant != "l2":
+        steps.append((FORMERLY, " "))
+    if variant == "l3b":
+        steps.append((ACRONYM_DOT, "$1"))
+    steps.append((PARENTHESES, " "))
+    plain, blanks = (r"[^A-Z0-9]+", " "), (r"\s+", " ")
+    if variant == "l2":
+        steps += [plain, (LEGAL_SUFFIX, " "), blanks, *AMPERSAND_FOLD]
+    else:
+        steps += [(r"[^A-Z0-9&]+", " "), *AMPERSAND_FOLD, plain, (LEGAL_SUFFIX, " ")]
     t = F.upper(col(c))
-    if drop_former:
-        t = F.regexp_replace(t, r"\(?\bFORMERLY\b.*$", "")
-    if drop_parens:
-        t = F.regexp_replace(t, r"\([^)]*\)", " ")
-    if drop_code:
-        t = F.regexp_replace(squeeze(t), r"^(?=[A-Z0-9]{4} )(?=[A-Z]*[0-9])[A-Z0-9]{4} (?=\S)", "")
-    if fold_and:
-        t = F.regexp_replace(t, r"\s*&\s*", " AND ")
-    t = squeeze(F.regexp_replace(F.regexp_replace(t, r"[.']", ""), r"[^A-Z0-9 ]", " "))
-    if drop_legal:
-        t = F.regexp_replace(t, r"(?:\s+(?:" + "|".join(LEGAL_FORMS) + r"))+$", "")
+    for pattern, by in steps:
+        t = F.regexp_replace(t, pattern, by)
     return squeeze(t)
 
 
+def simple_name(c: ColumnLike) -> Column:
+    """Upper case, letters, digits and single blanks only; a ``&`` is AND; legal forms at the end are dropped."""
+    t = F.regexp_replace(F.upper(col(c)), r"\([^)]*\)", " ")
+    t = F.regexp_replace(t, r"\s*&\s*", " AND ")
+    t = squeeze(F.regexp_replace(F.regexp_replace(t, r"[.']", ""), r"[^A-Z0-9 ]", " "))
+    return squeeze(F.regexp_replace(t, r"(?:\s+(?:" + "|".join(LEGAL_FORMS) + r"))+$", ""))
+
+
 ABBREVIATIONS = {"INTL": "INTERNATIONAL", "FD": "FUND", "FND": "FUND", "GRTH": "GROWTH", "EQTY": "EQUITY", "MGMT": "MANAGEMENT", "MGT": "MANAGEMENT", "BD": "BOND", "CAP": "CAPITAL", "INVT": "INVESTMENT"}
 
 
@@ -147,8 +172,8 @@ def digit_tokens(c: ColumnLike) -> Column:
 
 
 def designator(c: ColumnLike) -> Column:
-    """The letter or numeral of a trailing SERIES or PORTFOLIO designation, else null."""
-    d = F.regexp_extract(col(c), r"\b(?:SERIES|PORTFOLIO|CLASS) ([A-Z0-9]{1,4})$", 1)
+    """The one or two characters of a trailing SERIES, PORTFOLIO or FUND designation, else null."""
+    d = F.regexp_extract(col(c), DESIGNATOR, 1)
     return F.when(d != "", d)
 
 

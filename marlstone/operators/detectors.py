@@ -55,20 +55,17 @@ def seasonal(df: DataFrame, entity: str, period: str, value: str, ratio: float =
     return finding(hit, "seasonal_alternation", entity, F.lit(None), F.concat(F.lit("high "), -F.col("hi.col2"), F.lit(" low "), F.col("lo._m")), fold)
 
 
-#: Usual split factors; each and its square is tried, factors first.
-SPLITS = [2.0, 3.0, 4.0, 5.0, 1.5, 7.0, 8.0, 10.0, 20.0]
+# Split factors tried, each and then its square.
+SPLITS = [2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 10.0, 20.0, 28.0]
 
 
 def split_ratio(df: DataFrame, entity: str, period: str, shares: str, owners: str, near: float = 0.03, least: float = 1.5, flat: float = 0.1) -> DataFrame:
-    """A fold change of shares close to a split factor or its square, with owners about the same."""
-    s = _steps(df, entity, period, shares, owners)
-    p = F.col("prev_" + shares)
-    fold = F.when((p > 0) & (F.col(shares) > 0), F.greatest(F.col(shares) / p, p / F.col(shares)))
-    factors = F.array(*[F.lit(x) for x in [*SPLITS, *[x * x for x in SPLITS]]])
-    s = s.withColumn("_fold", fold)
-    first = F.try_element_at(F.filter(factors, lambda f: F.abs(F.col("_fold") / f - 1) <= near), F.lit(1))
-    hit = s.withColumn("_factor", first).where((F.col("_fold") >= least) & F.col("_factor").isNotNull() & (F.abs(_change(owners, "prev_" + owners)) <= flat))
-    return finding(hit, "split_ratio", entity, period, F.concat(F.lit("factor "), F.col("_factor").cast("string")), F.col("_fold"))
+    """Shares rise by about a split factor (``split``) or its square (``double-adjusted``), with owners about the same."""
+    s = _steps(df, entity, period, shares, owners).withColumn("_fold", F.try_divide(shares, F.when(F.col("prev_" + shares) > 0, F.col("prev_" + shares))))
+    targets = F.array(*[F.struct(F.lit(f ** n).alias("f"), F.lit(label).alias("label")) for n, label in ((1, "split"), (2, "double-adjusted")) for f in SPLITS])
+    first = F.try_element_at(F.filter(targets, lambda x: F.abs(F.col("_fold") - x["f"]) / x["f"] <= near), F.lit(1))
+    hit = s.withColumn("_t", first).where((F.col("_fold") >= least) & F.col("_t").isNotNull() & (F.abs(_change(owners, "prev_" + owners)) <= flat))
+    return finding(hit, "split_factor_ratio", entity, period, F.concat(F.col("_t.label"), F.lit(" "), F.col("_t.f").cast("string")), F.col("_fold"))
 
 
 def unit_break(df: DataFrame, period: str, value: str, ratio: float = 10.0, least: int = 20, even: float = 3.0) -> DataFrame:
@@ -83,13 +80,11 @@ def unit_break(df: DataFrame, period: str, value: str, ratio: float = 10.0, leas
 
 
 def coverage_end(df: DataFrame, entity: str, period: str, expected: str, days: int = 100) -> DataFrame:
-    """The panel, and each entity, whose last period lies more than ``days`` before the expected (or the panel's) end."""
-    end = F.lit(expected).cast("date")
+    """The panel (entity null), and each entity, whose last period lies more than ``days`` before the expected end."""
     last = df.groupBy(entity).agg(F.max(period).alias("last"))
-    panel = last.agg(F.max("last").alias("last"))
-    whole = finding(panel.where(F.datediff(end, "last") > days), "panel_coverage_end", F.lit(None), "last", F.lit("panel ends early"), F.datediff(end, "last"))
-    each = last.join(F.broadcast(panel.withColumnRenamed("last", "panel_last"))).where(F.datediff("panel_last", "last") > days)
-    return whole.unionByName(finding(each, "entity_coverage_end", entity, "last", F.lit("entity ends early"), F.datediff("panel_last", "last")))
+    both = last.unionByName(last.agg(F.max("last").alias("last")).select(F.lit(None).cast(df.schema[entity].dataType).alias(entity), "last"))
+    gap = F.datediff(F.lit(expected).cast("date"), "last")
+    return finding(both.where(gap > days), "coverage_end", entity, "last", F.concat(gap, F.lit(" days short")), gap)
 
 
 def owner_dropout(df: DataFrame, entity: str, period: str, owners: str, drop: float = 0.5) -> DataFrame:

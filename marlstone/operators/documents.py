@@ -57,13 +57,11 @@ def scan_profile(df: DataFrame, keep: list[str], text: str, fields: list[Field],
     return d.select(*keep, *[value(f) for f in fields])
 
 
-def block_type(name: str) -> Column:
-    """individual, active, passive or other, by words of the holder's name."""
-    n = F.upper(F.col(name))
-    return (
-        F.when(n.rlike(r"\b(INDEX|VANGUARD|BLACKROCK|STATE STREET)\b"), "passive").when(n.rlike(r"\b(CAPITAL|PARTNERS|MANAGEMENT|MGMT|MGT|ADVISORS|ADVS?|FUND|ASSET)\b"), "active")
-        .when(n.rlike(r"\b(INC|CORP|LLC|LTD|TRUST|BANK)\b"), "other").otherwise("individual")
-    )
+def block_type(item12: str, form: str, files_13f: str) -> Column:
+    """individual, active (13D) or passive (13G) institution, or other: by the filer's kind, the form kept, and whether the filer reports holdings on 13F."""
+    reports = F.coalesce(F.col(files_13f).cast("boolean"), F.lit(False))
+    kind = F.when(reports & F.contains(F.col(form), F.lit("13D")), "active").when(reports & F.contains(F.col(form), F.lit("13G")), "passive")
+    return F.when(F.col(item12) == "in", "individual").otherwise(F.coalesce(kind, F.lit("other")))
 
 
 def gap_fill(df: DataFrame, keys: list[str], year: str, steps: tuple[int, ...] = (4, 3, 2)) -> DataFrame:

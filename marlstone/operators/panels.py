@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars as S
 from marlstone.operators.aggregates import hhi
 from marlstone.operators.joins import small
-from marlstone.operators.windows import change_flag, neighbourhood
+from marlstone.operators.windows import change_flag, neighbourhood, report_markers
 
 
 def ownership(holdings: DataFrame, denominators: DataFrame) -> DataFrame:
@@ -21,18 +21,15 @@ def ownership(holdings: DataFrame, denominators: DataFrame) -> DataFrame:
     """
     known = holdings.where("measure > 0 and holder is not null and entity is not null and date is not null").withColumn("q", S.quarter_index("date"))
     h = known.groupBy("holder", "entity", "q").agg(F.sum("measure").alias("measure"))
-    # Entry and exit on the same rows as the sums: one pass over the reduced holdings gives everything per entity and quarter.
-    w = Window.partitionBy("holder", "entity").orderBy("q")
-    first, last = F.coalesce(F.col("q") - F.lag("q").over(w) > 1, F.lit(True)), F.coalesce(F.lead("q").over(w) - F.col("q") > 1, F.lit(True))
-    marked = h.select("entity", "q", "measure", first.alias("first"), last.alias("last"))
-    p = marked.groupBy("entity", "q").agg(
-        F.count("*").alias("numowners"), F.sum("measure").alias("io_total"), hhi("measure").alias("ioc_hhi"), F.count_if("first").alias("newinst"), F.count_if("last").alias("oldinst")
+    # Entry and exit over all a holder reports: one row per holder and quarter, whatever the number of entities.
+    marks = report_markers(h, "holder", "q")
+    p = h.join(marks, ["holder", "q"]).groupBy("entity", "q").agg(
+        F.count("*").alias("numowners"), F.sum("measure").alias("io_total"), hhi("measure").alias("ioc_hhi"), F.count_if("is_first").alias("newinst"),
+        F.count_if("is_last").alias("oldinst"), F.max("n_holders").alias("_n"),
     )
-    # All holders of a quarter: few pairs leave the scan, whatever the number of entities.
-    n = known.select("q", "holder").distinct().groupBy("q").agg(F.count("*").alias("_n"))
     e = Window.partitionBy("entity").orderBy("q")
     stay = (F.col("numowners") - F.col("newinst")) - F.lag(F.col("numowners") - F.col("oldinst")).over(e)
-    out = p.join(n, "q").withColumn("dbreadth", F.try_divide(stay, F.lag("_n").over(e))).drop("_n").join(denominators, "entity", "left")
+    out = p.withColumn("dbreadth", F.try_divide(stay, F.lag("_n").over(e))).drop("_n").join(denominators, "entity", "left")
     period = F.last_day(F.make_date(F.expr("(q - 1) div 4").cast("int"), F.expr("((q - 1) % 4) * 3 + 3").cast("int"), F.lit(1)))
     return out.withColumn("period", period).withColumn("ior", S.ratio("io_total", "total"))
 
@@ -54,7 +51,7 @@ def vote_cells(cells: DataFrame, universe: DataFrame, lookup: DataFrame) -> Data
     )
 
 
-def meetings(items: DataFrame, low: float = 0.0, high: float = 150.0) -> DataFrame:
+def meetings(items: DataFrame, low: float = 0.0, high: float = 120.0) -> DataFrame:
     """Voted items with turnout clipped to 0..100 (rows beyond ``high`` dropped), the issuer's mean, and a tri-state contested flag."""
     m = items.where(F.col("turnout").isNull() | (F.col("turnout") <= high)).withColumn("turnout", S.clip("turnout", low, 100.0))
     mean = F.avg("forpct").over(Window.partitionBy("permno"))
@@ -97,11 +94,15 @@ def cohort(events: DataFrame, user: str, at: str, starts: Column) -> DataFrame:
 
 def funnel(events: DataFrame, user: str, at: str, kind: str, steps: list[str]) -> DataFrame:
     """Users that took each step after the one before, and the conversion from it."""
-    firsts = [events.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(at).alias("t0"))]
-    for i, s in enumerate(steps[1:], 1):
-        e = events.where(F.col(kind) == s).select(F.col(user).alias("_u"), F.col(at).alias("_t"))
-        prev = firsts[-1]
-        firsts.append(prev.join(e, (prev[user] == e["_u"]) & (e["_t"] >= prev[f"t{i - 1}"])).groupBy(user).agg(F.min("_t").alias(f"t{i}")))
+    # A user's step counts from the first time it comes at or after the step before: one ordered pass with a running state, no self-join.
+    only = events.where(F.col(kind).isin(steps) & F.col(user).isNotNull() & F.col(at).isNotNull()).select(F.col(user).alias("u"), F.col(at).alias("t"), F.col(kind).alias("k"))
+    reached = only
+    w = Window.partitionBy("u")
+    for i, s in enumerate(steps):
+        after = F.lit(True) if i == 0 else F.col("t") >= F.col(f"t{i - 1}")
+        reached = reached.withColumn(f"t{i}", F.min(F.when((F.col("k") == s) & after, F.col("t"))).over(w))
+    users = reached.groupBy("u").agg(*[F.first(f"t{i}").alias(f"t{i}") for i in range(len(steps))])
+    firsts = [users.where(f"t{i} is not null") for i in range(len(steps))]
     out = None
     for i, (s, f) in enumerate(zip(steps, firsts, strict=True)):
         n = f.agg(F.count("*").alias("users")).select(F.lit(i + 1).alias("step"), F.lit(s).alias("event"), "users")

@@ -196,15 +196,15 @@ def rendered(df: DataFrame, c: str) -> Column:
 def content_hash(df: DataFrame) -> DataFrame:
     """``rows, digest``: the same under any order of rows and columns.
 
-    Each row's cells, in the order of their names, give one SHA-256; rows are
-    reduced to counts per hash, and per leading byte to a hash of the ordered
-    (hash, count) list, so that no task holds more than its 1/4096 of the hashes.
+    Each row's cells, in the order of their names, give one SHA-256; its four 64-bit
+    parts are summed over all rows, and the sums and the count hashed.  A sum takes
+    no order and combines before the shuffle, so no task holds more than one row.
     """
     names = sorted(df.columns)
     row = F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(n + "="), rendered(df, n)) for n in names]), 256)
-    per = df.select(row.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    bucket = per.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", "n"))), ","), 256).alias("d"))
-    return bucket.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "d"))), ","), 256).alias("digest"))
+    part = lambda i: F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in range(4)])
+    return sums.select("rows", F.sha2(F.concat_ws(",", "rows", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("digest"))
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -37,7 +37,10 @@ def gram_vectors(left: DataFrame, right: DataFrame, low: int = 2, high: int = 4)
     return vectors(left, gl), vectors(right, gr)
 
 
-def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str | None = None, only: DataFrame | None = None, probe_part: float = 0.6) -> DataFrame:
+def similar(
+    left: DataFrame, right: DataFrame, floor: float, k: int | None, scope: str | None = None, only: DataFrame | None = None, probe_part: float = 0.6,
+    hot_rows: int = 100_000,
+) -> DataFrame:
     """``left_id, right_id, score``: per left id the ``k`` best right names with cosine of at least ``floor``.
 
     A pair can only reach the floor by sharing one of the left vector's heaviest
@@ -48,6 +51,7 @@ def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str
     ever joined; no pair is lost and no gram dropped.  With ``scope``, a column of both sides,
     pairs are sought within equal scopes only, under the same weights.  ``only``:
     the left ids to look up, if not all; the weights stay those of all names.
+    ``k``: how many matches of a left name are kept, all if None.
     """
     # Written once, with a short number for each row: pairs are summed up by numbers, not by long ids.
     left, right = (written(d.withColumn("_n", F.monotonically_increasing_id()), "names") for d in (left, right))
@@ -62,10 +66,14 @@ def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str
     extra = [scope] if scope else []
     pl = vl.select(F.col("_n").alias("nl"), *extra, F.explode(probe).alias("p")).select("nl", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wl"))
     pr = vr.select(F.col("_n").alias("nr"), *extra, F.explode("vec").alias("p")).select("nr", *extra, F.col("p.g").alias("g"), F.col("p.w").alias("wr"))
+    # A gram that many right vectors have is cut into pieces of about hot_rows rows; the left rows that look it up go to each.
+    hot = pr.groupBy("g", *extra).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("m")).where("m > 1")
+    pr = pr.join(hot, ["g", *extra], "left").withColumn("piece", F.coalesce(F.expr("pmod(nr, m)"), F.lit(0).cast("bigint"))).drop("m")
+    pl = pl.join(hot, ["g", *extra], "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("m", F.lit(1)).cast("bigint") - 1))).drop("m")
     # Few bytes make many pairs: a fixed number of partitions, which adaptive execution does not merge by size.
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pl, pr = pl.repartition(n, "g", *extra), pr.repartition(n, "g", *extra)
-    part = pl.join(pr, ["g", *extra]).groupBy("nl", "nr").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"), F.sum(F.col("wr") * F.col("wr")).alias("r"))
+    pl, pr = pl.repartition(n, "g", "piece", *extra), pr.repartition(n, "g", "piece", *extra)
+    part = pl.join(pr, ["g", "piece", *extra]).groupBy("nl", "nr").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"), F.sum(F.col("wr") * F.col("wr")).alias("r"))
     # What the grams not looked up can still add is at most the product of both rests.
     most = F.col("s") + floor * probe_part * F.sqrt(F.greatest(1 - F.col("r"), F.lit(0.0)))
     pairs = part.where(most >= floor * 0.999999).select("nl", "nr", "s")
@@ -80,7 +88,7 @@ def similar(left: DataFrame, right: DataFrame, floor: float, k: int, scope: str
     common = F.array_intersect("rest", "all")
     score = F.col("s") + F.aggregate(common, F.lit(0.0), lambda acc, g: acc + F.try_element_at(F.col("a"), g) * F.try_element_at(F.col("b"), g))
     scored = full.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= floor)
-    return top(scored, ["left_id"], [F.desc("score"), F.asc("right_id")], k).drop("rn")
+    return scored if k is None else top(scored, ["left_id"], [F.desc("score"), F.asc("right_id")], k).drop("rn")
 
 
 def two_pass(left: DataFrame, right: DataFrame, scope: str, scoped: float = 0.8, anywhere: float = 0.85) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,18 +57,16 @@ def scores(df: DataFrame, keep: list[str], text: str, stats: dict[str, tuple[flo
 
 
 def pattern_hits(df: DataFrame, keep: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
-    """``line, col, end, label`` of every match of a few patterns, 1-based; lines are exploded, patterns are columns, all in the JVM."""
-    lines = df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    spans = []
-    for label, p in patterns.items():
-        hits = F.regexp_extract_all("t", F.lit(f"(?i)({p})"), F.lit(1))
-        spans.append(F.transform(F.array_distinct(hits), lambda h, label=label: F.struct(F.lit(label).alias("label"), h.alias("hit"))))
-    found = lines.select(*keep, (F.col("line") + 1).alias("line"), "t", F.explode(F.concat(*spans)).alias("x")).where("x.hit != ''")
-    pieces = F.split("t", F.concat(F.lit("\\Q"), F.col("x.hit"), F.lit("\\E")), -1)
-    n = F.size(pieces) - 1
-    before = F.aggregate(F.slice(pieces, 1, F.col("i")), F.lit(0), lambda acc, s: acc + F.length(s)) + (F.col("i") - 1) * F.length("x.hit")
-    each = found.withColumn("i", F.explode(F.sequence(F.lit(1), n))).withColumn("col", before + 1)
-    return each.select(*keep, "line", "col", (F.col("col") + F.length("x.hit")).alias("end"), F.col("x.label").alias("label"), F.col("x.hit").alias("quote"))
+    """``line, col, end, label, quote`` of every match of the patterns, line by line, 1-based, letter case aside; empty matches are none."""
+    compiled = [(label, re.compile(p, re.I)) for label, p in patterns.items()]
+
+    def hits(t: str) -> list[dict]:
+        return [
+            {"line": i, "col": m.start() + 1, "end": m.end() + 1, "label": label, "quote": m.group()}
+            for i, line in enumerate(t.split("\n"), 1) for label, p in compiled for m in p.finditer(line) if m.group()
+        ]
+
+    return per_text(df, keep, [text], "line int, col int, end int, label string, quote string", hits)
 
 
 def collapse(hits: DataFrame, keys: list[str]) -> DataFrame:

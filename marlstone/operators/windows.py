@@ -14,15 +14,28 @@ def gap_markers(df: DataFrame, keys: list[str], period: str, step: int = 1) -> D
     return df.select(*keys, period, first.alias("is_first"), last.alias("is_last"))
 
 
+def report_markers(held: DataFrame, holder: str, period: str) -> DataFrame:
+    """``holder, period, is_first, is_last, n_holders``: a holder's entry and exit over all it reports, and how many report in the period.
+
+    One row per holder and period, whatever the number of entities held.
+    """
+    m = gap_markers(held.select(holder, period).distinct(), [holder], period)
+    n = m.groupBy(period).agg(F.count("*").alias("n_holders"))
+    return m.join(n, period)
+
+
 def breadth_change(held: DataFrame, entity: str, holder: str, period: str) -> DataFrame:
-    """``dbreadth`` per entity and period: continuing holders less those of the period before that stay on, over all holders then."""
-    m = gap_markers(held, [holder, entity], period)
-    n = lambda c: F.count(F.when(c, 1))
-    p = m.groupBy(entity, period).agg(F.count("*").alias("own"), n(F.col("is_first")).alias("new"), n(F.col("is_last")).alias("old"))
-    all_ = held.select(period, holder).distinct().groupBy(period).agg(F.count("*").alias("n"))
+    """``dbreadth`` per entity and period: owners that are no new reporters, less the owners one row before that were to report on, over all reporters then.
+
+    ``held`` is unique in entity, holder and period; null in an entity's first period.
+    """
+    m = held.select(entity, holder, period).join(report_markers(held, holder, period), [holder, period])
+    p = m.groupBy(entity, period).agg(
+        F.count("*").alias("own"), F.count_if("is_first").alias("new"), F.count_if("is_last").alias("old"), F.max("n_holders").alias("n")
+    )
     w = Window.partitionBy(entity).orderBy(period)
     stay = (F.col("own") - F.col("new")) - F.lag(F.col("own") - F.col("old")).over(w)
-    return p.join(all_, period).select(entity, period, F.try_divide(stay, F.lag("n").over(w)).alias("dbreadth"))
+    return p.select(entity, period, F.try_divide(stay, F.lag("n").over(w)).alias("dbreadth"))
 
 
 def change_flag(df: DataFrame, keys: list[str], period: str, value: str, name: str) -> DataFrame:
@@ -54,7 +67,7 @@ def cumulative_product(df: DataFrame, keys: list[str], at: str, rate: str, start
 
 
 def smooth_flips(df: DataFrame, key: str, at: str, state: str) -> DataFrame:
-    """Repairs A-B-A to A-A-A and A-B-B-A to A-A-A-A, from left to right, each repair seen by the next.
+    """Repairs A-B-A to A-A-A, then A-B-B-A to A-A-A-A, each pass from left to right, each repair seen by the next.
 
     Groups are one entity's yearly states: short by nature.
     """
@@ -63,11 +76,11 @@ def smooth_flips(df: DataFrame, key: str, at: str, state: str) -> DataFrame:
     def fix(pdf):
         pdf = pdf.sort_values(at)
         s = list(pdf[state])
-        for i in range(len(s)):
-            for width in (1, 2):
-                j = i + width + 1
-                if j < len(s) and s[i] == s[j] and len(set(s[i + 1 : j])) == 1 and s[i + 1] != s[i]:
-                    s[i + 1 : j] = [s[i]] * width
+        for width in (1, 2):
+            for i in range(len(s) - width - 1):
+                inner = set(s[i + 1 : i + 1 + width])
+                if s[i] == s[i + width + 1] and len(inner) == 1 and s[i] not in inner:
+                    s[i + 1 : i + 1 + width] = [s[i]] * width
         pdf[state] = s
         return pdf[[key, at, state]]
 

@@ -302,8 +302,9 @@ def _(t):
 
 @R.on(
     "win_dbreadth",
-    f"""WITH h AS ({_HOLD}), m AS (SELECT *, coalesce(q - lag(q) OVER w > 1, true) AS f, coalesce(lead(q) OVER w - q > 1, true) AS l FROM h WINDOW w AS (PARTITION BY l_suppkey, l_partkey ORDER BY q)),
-        p AS (SELECT l_partkey, q, count(*) AS own, count(*) FILTER (f) AS new, count(*) FILTER (l) AS old FROM m GROUP BY 1, 2),
+    f"""WITH h AS ({_HOLD}), k AS (SELECT DISTINCT l_suppkey, q FROM h),
+        m AS (SELECT *, coalesce(q - lag(q) OVER w > 1, true) AS f, coalesce(lead(q) OVER w - q > 1, true) AS l FROM k WINDOW w AS (PARTITION BY l_suppkey ORDER BY q)),
+        p AS (SELECT l_partkey, q, count(*) AS own, count(*) FILTER (f) AS new, count(*) FILTER (l) AS old FROM h JOIN m USING (l_suppkey, q) GROUP BY 1, 2),
         n AS (SELECT q, count(DISTINCT l_suppkey) AS n FROM h GROUP BY 1),
         j AS (SELECT p.*, n.n FROM p JOIN n USING (q))
         SELECT l_partkey, q, round(((own - new) - lag(own - old) OVER w) / lag(n) OVER w, 6) AS dbreadth FROM j WINDOW w AS (PARTITION BY l_partkey ORDER BY q)""",

@@ -45,9 +45,15 @@ def _(t):
     return t("tfn_holdings").select("hold_id", S.filed_within_a_year("fdate", "rdate").alias("in_time"))
 
 
-@R.on("fn_fiscal_assign", "SELECT own_row, CAST(CASE WHEN filing_date <= make_date(year(filing_date), 2, 24) THEN year(filing_date) - 1 ELSE year(filing_date) END AS INTEGER) AS fy FROM own_rows")
+@R.on(
+    "fn_fiscal_assign",
+    """SELECT own_row, CAST(year(filing_date) - CASE WHEN date_diff('day', make_date(year(filing_date), 1, 1), filing_date) <= 14
+       OR (form LIKE '%SC 13G%' AND percent < 10 AND date_diff('day', make_date(year(filing_date), 2, 14), filing_date) <= 10) THEN 1 ELSE 0 END AS INTEGER) AS fy
+       FROM (SELECT *, CASE WHEN table_index % 2 = 0 THEN 'SC 13G/A' ELSE 'SC 13D' END AS form FROM own_rows)""",
+)
 def _(t):
-    return t("own_rows").select("own_row", S.fiscal_year("filing_date").alias("fy"))
+    o = t("own_rows").withColumn("form", F.when(F.col("table_index") % 2 == 0, "SC 13G/A").otherwise("SC 13D"))
+    return o.select("own_row", S.fiscal_year("filing_date", "form", "percent").alias("fy"))
 
 
 @R.on("fn_two_digit_year", "SELECT meet_row, meetingdate AS d FROM meetings")
@@ -55,18 +61,37 @@ def _(t):
     return t("meetings").select("meet_row", S.two_digit_year_date(F.date_format("meetingdate", "dd-MMM-yy")).alias("d"))
 
 
-_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\(?\bFORMERLY\b.*$', ''), '\([^)]*\)', ' ', 'g'),
-    '\s*&\s*', ' AND ', 'g'), '[.'']', '', 'g'), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_FORMER, _LEGAL = r"'\((FORMERLY|FORMALLY|F/K/A|FKA|PREVIOUSLY|NEE)[^)]*\)', ' ', 'g'", r"'\b(INC|INCORPORATED|LLC|L L C|LP|L P|PLC|CORP|CORPORATION|LTD|LIMITED|N V|NV|S A|CO|COMPANY|THE)\b', ' ', 'g'"
+
+
+def _replaced(x: str, *steps: str) -> str:
+    for step in steps:
+        x = f"regexp_replace({x}, {step})"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
 
+_SP = [r"'\bSANDP\b', 'S P', 'g'", r"'\bS AND P\b', 'S P', 'g'"]
+_L2 = _replaced("upper(fund_name)", _FORMER, r"'\(([^)]*)\)', ' ', 'g'", "'[^A-Z0-9]+', ' ', 'g'", _LEGAL, r"'\s+', ' ', 'g'", *_SP)
+_L3 = [r"'\(([^)]*)\)', ' ', 'g'", "'[^A-Z0-9&]+', ' ', 'g'", *_SP, "'[^A-Z0-9]+', ' ', 'g'", _LEGAL]
 
-@R.on("fn_name_normalize", f"SELECT map_id, {_NORM.format('fund_name')} AS name FROM portnomap")
+
+@R.on(
+    "fn_name_normalize",
+    f"""SELECT map_id, {_L2} AS l2, {_replaced("upper(fund_name)", _FORMER, *_L3)} AS l3, {_replaced("upper(fund_name)", _FORMER, "'" + chr(92) + "b([A-Z])" + chr(92) + ".', '" + chr(92) + "1', 'g'", *_L3)} AS l3b FROM portnomap""",
+)
 def _(t):
-    return t("portnomap").select("map_id", S.normalize_name("fund_name").alias("name"))
+    return t("portnomap").select("map_id", *[S.normalize_name("fund_name", v).alias(v) for v in ("l2", "l3", "l3b")])
 
 
-@R.on("fn_name_norm_simple", f"SELECT DISTINCT company, trim(regexp_replace({_NORM.format('company')}, '(\\s+({'|'.join(S.LEGAL_FORMS)}))+$', '')) AS name FROM own_rows")
+@R.on(
+    "fn_name_norm_simple",
+    r"""SELECT DISTINCT company, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(company), '\([^)]*\)', ' ', 'g'), '\s*&\s*', ' AND ', 'g'), '[.'']', '', 'g'),
+        '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')), '(\s+("""
+    + "|".join(S.LEGAL_FORMS)
+    + """))+$', '')) AS name FROM own_rows""",
+)
 def _(t):
-    return t("own_rows").select("company", S.normalize_name("company", drop_legal=True).alias("name")).distinct()
+    return t("own_rows").select("company", S.simple_name("company").alias("name")).distinct()
 
 
 @R.on("fn_abbrev_expand")
@@ -79,7 +104,7 @@ def _(t):
     return t("split_s12").where("fundname is not null").select("fundname").distinct().select("fundname", F.array_join(S.digit_tokens("fundname"), "|").alias("digits"))
 
 
-@R.on("fn_designator", "SELECT DISTINCT fundname, nullif(regexp_extract(upper(fundname), '\\b(?:SERIES|PORTFOLIO|CLASS) ([A-Z0-9]{1,4})$', 1), '') AS d FROM split_s12 WHERE fundname IS NOT NULL")
+@R.on("fn_designator", "SELECT DISTINCT fundname, nullif(regexp_extract(upper(fundname), '\\b(?:SERIES|PORTFOLIO|FUND)\\s+([A-Z0-9]{1,2})\\b\\s*$', 1), '') AS d FROM split_s12 WHERE fundname IS NOT NULL")
 def _(t):
     return t("split_s12").where("fundname is not null").select("fundname").distinct().select("fundname", S.designator(F.upper("fundname")).alias("d"))
 
@@ -203,7 +228,7 @@ def _(t):
 @R.on(
     "fn_cosine_vec",
     """SELECT a.vec_id AS query_id, b.vec_id AS hit_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b
-       ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""",
+       ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""",
 )
 def _(t):
     """Every twentieth row is a query, compared with all other rows whatever their label."""

@@ -21,6 +21,17 @@ from marlstone.streaming import events as ST
 R = Registry()
 
 
+def block_form():
+    """The form of a block filing, which own_rows lacks: passive holders under 10 % file 13G."""
+    return F.when(F.col("percent") < 10, "SC 13G").otherwise("SC 13D")
+
+
+def block_item12():
+    """The filer's kind, which own_rows lacks: an institution by the words of its name, else an individual."""
+    firm = F.upper("holder_name").rlike(r"\b(?:INC|LLC|LP|L\.P|LTD|MANAGEMENT|MGMT|MGT|ADVISORS|ADVS?|PARTNERS|FUNDS?)\b")
+    return F.when(F.col("is_group_row") | firm, "ia").otherwise("in")
+
+
 def _place(t, name):
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -31,8 +42,8 @@ _OWN = """
     WITH h AS (SELECT l_suppkey AS holder, l_partkey AS entity, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INTEGER) AS q, last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS period, sum(l_quantity) AS m
                FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
     p AS (SELECT entity, q, period, count(*) AS numowners, sum(m) AS io_total, sum(m * m) / (sum(m) * sum(m)) AS hhi FROM h GROUP BY 1, 2, 3),
-    k AS (SELECT *, coalesce(q - lag(q) OVER w > 1, true) AS f, coalesce(lead(q) OVER w - q > 1, true) AS l FROM h WINDOW w AS (PARTITION BY holder, entity ORDER BY q)),
-    g AS (SELECT entity, q, count(*) FILTER (f) AS newinst, count(*) FILTER (l) AS oldinst, count(*) AS own FROM k GROUP BY 1, 2),
+    k AS (SELECT *, coalesce(q - lag(q) OVER w > 1, true) AS f, coalesce(lead(q) OVER w - q > 1, true) AS l FROM (SELECT DISTINCT holder, q FROM h) WINDOW w AS (PARTITION BY holder ORDER BY q)),
+    g AS (SELECT entity, q, count(*) FILTER (f) AS newinst, count(*) FILTER (l) AS oldinst, count(*) AS own FROM h JOIN k USING (holder, q) GROUP BY 1, 2),
     n AS (SELECT q, count(DISTINCT holder) AS n FROM h GROUP BY 1),
     b AS (SELECT entity, q, ((own - newinst) - lag(own - oldinst) OVER w) / lag(n) OVER w AS db FROM g JOIN n USING (q) WINDOW w AS (PARTITION BY entity ORDER BY q))
 """
@@ -63,7 +74,7 @@ def _(t):
 @R.on(
     "panel_meetings",
     """SELECT meet_row, CASE WHEN turnout IS NOT NULL THEN greatest(least(turnout, 100.0), 0.0) END AS turnout, round(avg(forpct) OVER (PARTITION BY permno), 7) AS mean_for, abs(forpct - 50) <= 10 AS close
-       FROM meetings WHERE turnout IS NULL OR turnout <= 150""",
+       FROM meetings WHERE turnout IS NULL OR turnout <= 120""",
 )
 def _(t):
     return P.meetings(t("meetings")).select("meet_row", "turnout", F.round("mean_for", 7).alias("mean_for"), "close")
@@ -93,8 +104,7 @@ def _cells(t):
     return P.vote_cells(c, universe, lookup)
 
 
-_CELLS = """c AS (SELECT TRY_CAST(trim(itemonagendaid) AS BIGINT) AS item, CASE block WHEN 'index' THEN 'passive' WHEN 'quant' THEN 'passive' WHEN 'active' THEN 'active' WHEN 'hedge' THEN 'active' ELSE '__unlinked__' END AS g, n_for, n_against, n_abstain, tna_for FROM npx_cells
-      WHERE NOT contains(trim(itemonagendaid), '.')),
+_CELLS = """c AS (SELECT TRY_CAST(regexp_replace(trim(itemonagendaid), '\\.0*$', '') AS BIGINT) AS item, CASE block WHEN 'index' THEN 'passive' WHEN 'quant' THEN 'passive' WHEN 'active' THEN 'active' WHEN 'hedge' THEN 'active' ELSE '__unlinked__' END AS g, n_for, n_against, n_abstain, tna_for FROM npx_cells),
     v AS (SELECT item, g, CAST(sum(n_for) AS BIGINT) AS n_for, CAST(sum(n_against) AS BIGINT) AS n_against, CAST(sum(n_abstain) AS BIGINT) AS n_abstain, round(sum(tna_for), 2) AS weight, count(*) FILTER (tna_for IS NULL) AS n_no_weight
       FROM c WHERE item IN (SELECT itemonagendaid FROM meetings WHERE itemonagendaid > 0) GROUP BY 1, 2)"""
 
@@ -128,9 +138,12 @@ def _(t):
 
 @R.on("panel_blockholders")
 def _(t):
-    o = t("own_rows").where("holder_name is not null and filing_date is not null and not is_group_row").withColumn("y", S.fiscal_year("filing_date"))
-    o = D.first_of(o, ["cik", "holder_name", "y"], [F.desc("filing_date"), F.asc("own_row")]).select("cik", "holder_name", "y", "percent")
-    return DOC.gap_fill(o, ["cik", "holder_name"], "y").withColumn("kind", DOC.block_type("holder_name"))
+    o = t("own_rows").where("holder_name is not null and filing_date is not null and not is_group_row").withColumn("form", block_form())
+    o = o.withColumn("y", S.fiscal_year("filing_date", "form", "percent")).where("percent > 4.5")
+    o = D.first_of(o, ["cik", "holder_name", "y"], [F.desc("filing_date"), F.asc("own_row")]).select("cik", "holder_name", "y", "percent", "form", block_item12().alias("item12"))
+    filers = t("tfn_holdings").where("rdate is not null").select(F.year("rdate").alias("y")).distinct().withColumn("files_13f", F.lit(True))
+    o = DOC.gap_fill(o, ["cik", "holder_name"], "y").join(filers, "y", "left")
+    return o.withColumn("kind", DOC.block_type("item12", "form", "files_13f")).select("cik", "holder_name", "y", "percent", "filled", "kind")
 
 
 @R.on(

@@ -124,9 +124,11 @@ def _(t):
 
 @R.on(
     "det_split_ratio",
-    f"""WITH {_PANEL}, s AS ({_LAG}), f AS (SELECT *, greatest(io / pio, pio / io) AS fold FROM s WHERE pio > 0 AND io > 0 AND pown > 0 AND abs(own / pown - 1) <= 0.1),
-        h AS (SELECT *, list_filter([{", ".join(str(x) for x in [*X.SPLITS, *[y * y for y in X.SPLITS]])}]::DOUBLE[], lambda x: abs(fold / x - 1) <= 0.03)[1] AS k FROM f WHERE fold >= 1.5) """
-    + _select("split_ratio", "e", "p", "'factor ' || k", "fold", "FROM h WHERE k IS NOT NULL"),
+    f"""WITH {_PANEL}, s AS ({_LAG}), f AS (SELECT *, io / pio AS fold FROM s WHERE pio > 0 AND pown > 0 AND abs(own / pown - 1) <= 0.1),
+        t AS (SELECT unnest([2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 10.0, 20.0, 28.0]::DOUBLE[]) AS k, unnest(range(9)) AS i),
+        u AS (SELECT k, i, 'split' AS label FROM t UNION ALL SELECT k * k, i + 9, 'double-adjusted' FROM t),
+        h AS (SELECT f.*, arg_min(label, i) AS label, arg_min(k, i) AS k FROM f JOIN u ON abs(fold - k) / k <= 0.03 WHERE fold >= 1.5 GROUP BY ALL) """
+    + _select("split_factor_ratio", "e", "p", "label || ' ' || k", "fold", "FROM h"),
 )
 def _(t):
     return X.split_ratio(_panel(t), "e", "p", "io", "own")
@@ -147,9 +149,8 @@ def _(t):
 
 @R.on(
     "det_coverage_end",
-    """WITH l AS (SELECT fundno AS e, max(rdate) AS last FROM split_s12 GROUP BY 1), m AS (SELECT max(last) AS last FROM l) """
-    + _select("panel_coverage_end", "NULL", "last", "'panel ends early'", "date_diff('day', last, DATE '2025-12-31')", "FROM m WHERE date_diff('day', last, DATE '2025-12-31') > 100 UNION ALL ")
-    + _select("entity_coverage_end", "e", "l.last", "'entity ends early'", "date_diff('day', l.last, m.last)", "FROM l, m WHERE date_diff('day', l.last, m.last) > 100"),
+    """WITH l AS (SELECT fundno AS e, max(rdate) AS last FROM split_s12 GROUP BY 1 UNION ALL SELECT NULL, max(rdate) FROM split_s12), g AS (SELECT *, date_diff('day', last, DATE '2025-12-31') AS gap FROM l) """
+    + _select("coverage_end", "e", "last", "gap || ' days short'", "gap", "FROM g WHERE gap > 100"),
 )
 def _(t):
     return X.coverage_end(t("split_s12"), "fundno", "rdate", "2025-12-31")

@@ -258,11 +258,12 @@ def _(t):
 
 @R.on("join_like_prefix", "SELECT p.p_partkey, r.r_name FROM part p JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS r_name FROM part) r ON p.p_name LIKE r.r_name || '%'")
 def _(t):
-    # The first word decides which prefixes can fit: the equality keeps the join from comparing every pair.
-    head = lambda c: F.substring(F.col(c), 1, 2)
+    # Each name meets patterns by its own beginnings, of the lengths that patterns have: an equality, whatever the patterns' length.
     words = t("part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("r_name")).distinct()
-    p = t("part").select("p_partkey", "p_name")
-    return p.join(words, (head("p_name") == head("r_name")) & F.col("p_name").startswith(F.col("r_name"))).select("p_partkey", "r_name")
+    lengths = words.agg(F.collect_set(F.length("r_name")).alias("ns"))  # one row, no longer than the longest pattern
+    p = t("part").select("p_partkey", "p_name").crossJoin(F.broadcast(lengths))
+    p = p.select("p_partkey", F.explode(F.transform(F.filter("ns", lambda n: n <= F.length("p_name")), lambda n: F.substring(F.col("p_name"), F.lit(1), n))).alias("r_name"))
+    return p.join(words, "r_name").select("p_partkey", "r_name")
 
 
 @R.on(
@@ -375,11 +376,11 @@ def _(t):
 
 @R.on(
     "srt_multi",
-    """SELECT hold_id, row_number() OVER (ORDER BY shares DESC NULLS LAST, hold_id) AS pos FROM tfn_holdings WHERE shares > 100000
+    """SELECT hold_id, row_number() OVER (ORDER BY shares DESC NULLS LAST, hold_id) AS pos FROM tfn_holdings
        ORDER BY shares DESC NULLS LAST, hold_id""",
 )
 def _(t):
-    return D.positions(t("tfn_holdings").where("shares > 100000").select("hold_id", "shares"), [F.col("shares").desc_nulls_last(), F.col("hold_id").asc()], "pos").drop("shares")
+    return D.positions(t("tfn_holdings").select("hold_id", "shares"), [F.col("shares").desc_nulls_last(), F.col("hold_id").asc()], "pos").drop("shares")
 
 
 @R.on("srt_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25")

@@ -24,8 +24,9 @@ def _names(t):
     return side(left), side(right)
 
 
-_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\(?\bFORMERLY\b.*$', ''), '\([^)]*\)', ' ', 'g'),
-    '\s*&\s*', ' AND ', 'g'), '[.'']', '', 'g'), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper({0}),
+    '\((FORMERLY|FORMALLY|F/K/A|FKA|PREVIOUSLY|NEE)[^)]*\)', ' ', 'g'), '\b([A-Z])\.', '\1', 'g'), '\(([^)]*)\)', ' ', 'g'), '[^A-Z0-9&]+', ' ', 'g'), '\bSANDP\b', 'S P', 'g'),
+    '\bS AND P\b', 'S P', 'g'), '[^A-Z0-9]+', ' ', 'g'), '\b(INC|INCORPORATED|LLC|L L C|LP|L P|PLC|CORP|CORPORATION|LTD|LIMITED|N V|NV|S A|CO|COMPANY|THE)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
 _TITLE = r"regexp_replace(regexp_replace(fund_name, '^[^:]*: ', ''), '(?: - Class .*|; .*|/[^/]*)$', '')"
 _TFIDF = f"""
     WITH l AS (SELECT DISTINCT {_NORM.format('fundname')} AS id FROM split_s12 WHERE fundname IS NOT NULL), r AS (SELECT DISTINCT {_NORM.format(_TITLE)} AS id FROM portnomap WHERE fund_name IS NOT NULL),
@@ -39,11 +40,11 @@ _TFIDF = f"""
 """
 
 
-@R.on("er_tfidf_topk", _TFIDF + "SELECT left_id, right_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rn FROM s WHERE score >= 0.6) WHERE rn <= 3")
+@R.on("er_tfidf_topk", _TFIDF + "SELECT left_id, right_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rn FROM s WHERE score >= 0.3) WHERE rn <= 100")
 def _(t):
     left, right = _names(t)
     # All pairs first: ties are told apart by rounded scores, so the best 100 by plain scores may be others.
-    got = E.similar(left, right, 0.3, 100000)
+    got = E.similar(left, right, 0.3, None)
     return E.top(got.withColumn("s", F.round("score", 9)), ["left_id"], [F.desc("s"), F.asc("right_id")], 100).select("left_id", "right_id", F.round("score", 5).alias("score"))
 
 
@@ -109,7 +110,7 @@ def _(t):
 def _(t):
     left, right = _names(t)
     unit = right.select(F.col("id").alias("right_id"), F.split_part("name", F.lit(" "), F.lit(1)).alias("unit"))
-    return E.best_margin(E.similar(left, right, 0.5, 100000), unit).select("left_id", "unit", F.round("score", 5).alias("score"), F.round("margin", 4).alias("margin"))
+    return E.best_margin(E.similar(left, right, 0.5, None), unit).select("left_id", "unit", F.round("score", 5).alias("score"), F.round("margin", 4).alias("margin"))
 
 
 @R.on("er_accept_global")
@@ -168,7 +169,7 @@ def _(t):
 def _(t):
     left, right = _names(t)
     head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    return E.threshold_sweep(E.similar(left, right, 0.7, 100000), head("left_id") == head("right_id"))
+    return E.threshold_sweep(E.similar(left, right, 0.7, None), head("left_id") == head("right_id"))
 
 
 @R.on(
@@ -205,5 +206,5 @@ def _(t):
 @R.on("join_topk_similarity", _TFIDF + "SELECT left_id, right_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rn FROM s WHERE score >= 0.75) WHERE rn <= 1")
 def _(t):
     left, right = _names(t)
-    got = E.similar(left, right, 0.75, 50).withColumn("s", F.round("score", 9))
+    got = E.similar(left, right, 0.75, None).withColumn("s", F.round("score", 9))
     return E.top(got, ["left_id"], [F.desc("s"), F.asc("right_id")], 1).select("left_id", "right_id", F.round("score", 5).alias("score"))

@@ -8,6 +8,7 @@ from marlstone.functions import filings as FK
 from marlstone.functions import style as K
 from marlstone.operators import documents as D
 from marlstone.operators import text as X
+from marlstone.plans.panels import block_form, block_item12
 from marlstone.plans.registry import Registry
 
 R = Registry()
@@ -69,25 +70,27 @@ def _(t):
 
 @R.on("doc_13dg_percent")
 def _(t):
-    return X.per_text(_docs(t), ["doc_id"], ["text"], "percent double", lambda s: [{"percent": FK.percent_of_class(s)}]).where("percent is not null")
+    return X.per_text(_docs(t), ["doc_id"], ["text"], "percent double", lambda s: [{"percent": FK.percent_of_class(s)}])
 
 
-_TYPE = r"""CASE WHEN regexp_matches(upper(holder_name), '\b(INDEX|VANGUARD|BLACKROCK|STATE STREET)\b') THEN 'passive' WHEN regexp_matches(upper(holder_name), '\b(CAPITAL|PARTNERS|MANAGEMENT|MGMT|MGT|ADVISORS|ADVS?|FUND|ASSET)\b') THEN 'active'
-    WHEN regexp_matches(upper(holder_name), '\b(INC|CORP|LLC|LTD|TRUST|BANK)\b') THEN 'other' ELSE 'individual' END"""
-
-
-@R.on("doc_block_type", f"SELECT own_row, {_TYPE} AS kind FROM own_rows")
+@R.on(
+    "doc_block_type",
+    r"""WITH o AS (SELECT own_row, CASE WHEN is_group_row OR regexp_matches(upper(holder_name), '\b(?:INC|LLC|LP|L\.P|LTD|MANAGEMENT|MGMT|MGT|ADVISORS|ADVS?|PARTNERS|FUNDS?)\b') THEN 'ia' ELSE 'in' END AS item12,
+        CASE WHEN percent < 10 THEN 'SC 13G' ELSE 'SC 13D' END AS form, table_index % 3 <> 0 AS files FROM own_rows)
+        SELECT own_row, CASE WHEN item12 = 'in' THEN 'individual' WHEN coalesce(files, false) AND form LIKE '%13D%' THEN 'active' WHEN coalesce(files, false) AND form LIKE '%13G%' THEN 'passive' ELSE 'other' END AS kind FROM o""",
+)
 def _(t):
-    return t("own_rows").select("own_row", D.block_type("holder_name").alias("kind"))
+    o = t("own_rows").select("own_row", block_item12().alias("item12"), block_form().alias("form"), (F.col("table_index") % 3 != 0).alias("files"))
+    return o.select("own_row", D.block_type("item12", "form", "files").alias("kind"))
 
 
 @R.on(
     "doc_gap_fill",
-    """WITH y AS (SELECT DISTINCT cik, CAST(year(filing_date) AS INTEGER) AS y FROM own_rows WHERE filing_date IS NOT NULL AND year(filing_date) % 3 <> 1), g AS (SELECT *, lead(y) OVER (PARTITION BY cik ORDER BY y) - y AS gap FROM y)
+    """WITH y AS (SELECT DISTINCT cik, CAST(year(filing_date) AS INTEGER) AS y FROM own_rows WHERE filing_date IS NOT NULL), g AS (SELECT *, lead(y) OVER (PARTITION BY cik ORDER BY y) - y AS gap FROM y)
        SELECT cik, CAST(y + i AS INTEGER) AS y, i > 0 AS filled FROM (SELECT *, unnest(range(0, CASE WHEN gap IN (2, 3, 4) THEN gap ELSE 1 END)) AS i FROM g)""",
 )
 def _(t):
-    y = t("own_rows").where("filing_date is not null and year(filing_date) % 3 != 1").select("cik", F.year("filing_date").alias("y")).distinct()
+    y = t("own_rows").where("filing_date is not null").select("cik", F.year("filing_date").alias("y")).distinct()
     return D.gap_fill(y, ["cik"], "y")
 
 
@@ -176,10 +179,11 @@ def _(t):
 
 
 def _quotes(t):
-    """Each document's own middle as a quote, some with an elision or brackets."""
-    d = _docs(t).where("length(text) > 200")
-    mid = F.substring("text", 60, 80)
-    q = F.when(F.col("doc_id") % 3 == 0, mid).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", 20, 60), F.lit(" ... "), F.substring("text", 120, 60))).otherwise(F.concat(F.substring("text", 120, 60), F.lit(" ... "), F.substring("text", 20, 60)))
+    """Of every text that is not empty its own middle third as a quote, as it stands, with an elision, or with the parts turned round."""
+    d = _docs(t).where("length(text) > 0").withColumn("n", F.length("text"))
+    part = lambda at, of: F.substring(F.col("text"), (F.col("n") * at / 12).cast("int") + 1, F.greatest((F.col("n") * of / 12).cast("int"), F.lit(1)))
+    first, second = part(4, 2), part(7, 1)
+    q = F.when(F.col("doc_id") % 3 == 0, part(4, 4)).when(F.col("doc_id") % 3 == 1, F.concat(first, F.lit(" ... "), second)).otherwise(F.concat(second, F.lit(" ... "), first))
     return d.select("doc_id", "text", q.alias("quote"))
 
 

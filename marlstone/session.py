@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +31,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a folder of its own, removed when Python
+    ends; on a cluster a folder of one machine would lose rows, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: The tables written by :func:`written` and not yet removed.
+_WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Removes the tables that :func:`written` made: to be called once the results built on them are saved."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table into the shared folder and read it back.
 
@@ -46,6 +70,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,13 +76,16 @@ def vintages(frames: list[DataFrame], aliases: dict[str, list[str]], keys: dict[
 
 
 def after_preamble(spark: SparkSession, path: str, skip: int, schema: str) -> DataFrame:
-    """A single CSV file after ``skip`` lines of preamble and its header line.
+    """CSV files, each after ``skip`` lines of preamble and its header line.
 
-    Line numbers come from the file's own order: each file is read whole by one
-    task (``wholetext`` is not used; ``_metadata.row_index`` is not offered for text).
+    Lines of a split are numbered on from where it starts; a file's first split is
+    known by its offset, so files may be split and packed in any way.  The preamble
+    must lie in the first split.
     """
-    lines = spark.read.option("maxPartitionBytes", str(1 << 40)).text(path).withColumn("n", F.monotonically_increasing_id())
-    return lines.where(F.col("n") > skip).select(F.from_csv("value", schema).alias("r")).select("r.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), (F.col("_metadata.file_block_start") == 0).alias("first")).withColumn("n", F.monotonically_increasing_id())
+    begins = lines.where("first").groupBy("f").agg(F.min("n").alias("n0"))  # one row a file
+    body = lines.join(begins, "f").where(~F.col("first") | (F.col("n") - F.col("n0") > skip))
+    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
@@ -100,10 +105,19 @@ def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def header_bytes(spark: SparkSession, path: str, size: int = 4096, end: str = "</SEC-HEADER>") -> DataFrame:
-    """``path, head``: the first bytes of each file as text, cut at the end of its header."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring(F.col("content"), 1, size).cast("string")
-    return files.select("path", F.substring_index(head, end, 1).alias("head"))
+    """``path, head``: the first ``size`` bytes of each file as text, cut at the end of its header; no more of a file is read."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # the listing alone: contents are not asked for
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p in batch.column("path").to_pylist():
+                fs, at = pa_fs.FileSystem.from_uri(p if "://" in p else p.replace("file:/", "file:///", 1))
+                with fs.open_input_file(at) as f:
+                    out.append(f.read(size).decode("utf-8", "replace").split(end, 1)[0])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "head"])
+
+    return files.mapInArrow(heads, "path string, head string")
 
 
 def submission(df: DataFrame, text: str) -> DataFrame:

@@ -13,9 +13,11 @@ from marlstone.functions import scalars as S
 from marlstone.functions import style as K
 from marlstone.operators import dedup as DD
 from marlstone.operators import detectors as X
+from marlstone.operators import documents as DOC
 from marlstone.operators import joins as J
 from marlstone.operators import quality as Q
 from marlstone.operators import resolution as E
+from marlstone.operators import text as TX
 from marlstone.operators import ticks as TK
 from marlstone.operators import windows as W
 from marlstone.sources import readers as RD
@@ -85,7 +87,11 @@ def test_dropout_and_split(spark):
     assert X.flat_owner_swing(lost, "permno", "rdate", "io_total", "numowners").count() == 0
     split = panel(spark, [1e9] * 8 + [4e9] * 8, [2000 + 12 * i for i in range(16)], 2018)
     r = X.split_ratio(split, "permno", "rdate", "io_total", "numowners").collect()
-    assert len(r) == 1 and r[0]["detail"] == "factor 4.0"
+    assert len(r) == 1 and r[0]["detail"] == "split 4.0" and r[0]["kind"] == "split_factor_ratio"
+    twice = panel(spark, [1e9] * 8 + [49e9] * 8, [2000] * 16, 2018)
+    assert [x["detail"] for x in X.split_ratio(twice, "permno", "rdate", "io_total", "numowners").collect()] == ["double-adjusted 49.0"]
+    back = panel(spark, [4e9] * 8 + [1e9] * 8, [2000] * 16, 2018)
+    assert X.split_ratio(back, "permno", "rdate", "io_total", "numowners").count() == 0  # a fall is no split
     assert X.split_ratio(panel(spark, [1e9] * 8, [100] * 8), "permno", "rdate", "io_total", "numowners").count() == 0
 
 
@@ -153,6 +159,45 @@ def test_smooth_flips(spark):
     rows = [("x", y, s) for y, s in enumerate("ABACCA")]
     got = "".join(r["s"] for r in W.smooth_flips(spark.createDataFrame(rows, "k string, y int, s string"), "k", "y", "s").orderBy("y").collect())
     assert got == "AAAAAA"
+    for text, want in (("ABBABB", "ABBBBB"), ("ABBAB", "ABBBB"), ("ABBA", "AAAA"), ("AB", "AB")):
+        rows = [("x", y, s) for y, s in enumerate(text)]
+        assert "".join(r["s"] for r in W.smooth_flips(spark.createDataFrame(rows, "k string, y int, s string"), "k", "y", "s").orderBy("y").collect()) == want
+
+
+def test_breadth_change(spark):
+    """By hand: of 10 holders, all there before; then 12 owners, 4 of them new reporters and 2 their last quarter: ((12 - 4) - (10 - 0)) / 10."""
+    old = [(h, "e", 1) for h in range(10)] + [(h, "other", 3) for h in range(10)]
+    second = [(h, "e", 2) for h in range(8)] + [(h, "e", 2) for h in range(100, 104)] + [(h, "other", 2) for h in range(8, 10)] + [(h, "other", 3) for h in range(100, 102)]
+    df = spark.createDataFrame(old + second, "h int, e string, q int")
+    got = {(r["e"], r["q"]): r["dbreadth"] for r in W.breadth_change(df, "e", "h", "q").collect()}
+    assert got["e", 1] is None and abs(got["e", 2] + 0.2) < 1e-12
+
+
+def test_breadth_is_not_constant(spark):
+    from marlstone.plans import aggregation, panels
+
+    sf = "/root/testdata/sf0.01"
+    for q in (aggregation.R.queries["win_dbreadth"], panels.R.queries["panel_inst_own"]):
+        assert q(spark, sf).where("dbreadth is not null and dbreadth != 0").count() > 1000
+
+
+def test_fiscal_year_and_block_type(spark):
+    y = lambda d, form, pct: one(spark, S.fiscal_year(F.lit(d).cast("date"), F.lit(form), F.lit(pct)))
+    assert y("2020-01-15", "SC 13D", 50.0) == 2019 and y("2020-01-16", "SC 13D", 50.0) == 2020
+    assert y("2020-02-24", "SC 13G/A", 9.9) == 2019 and y("2020-02-25", "SC 13G", 9.9) == 2020
+    assert y("2020-02-20", "SC 13G", 10.0) == 2020 and y("2020-02-20", None, None) == 2020
+    rows = [(1, "in", "SC 13D", True), (2, "ia", "SC 13D", True), (3, "ia", "SC 13G/A", True), (4, "ia", "SC 13G", False), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, item12 string, form string, files boolean")
+    got = {r["i"]: r["kind"] for r in df.withColumn("kind", DOC.block_type("item12", "form", "files")).collect()}
+    assert got == {1: "individual", 2: "active", 3: "passive", 4: "other", 5: "other"}
+
+
+def test_coverage_end(spark):
+    rows = [(1, dt.date(2024, 12, 31)), (2, dt.date(2025, 12, 1))]
+    df = spark.createDataFrame(rows, "e int, p date")
+    got = {(r["kind"], r["entity"], r["metric"]) for r in X.coverage_end(df, "e", "p", "2025-12-31").collect()}
+    assert got == {("coverage_end", "1", 365.0)}
+    assert {r["entity"] for r in X.coverage_end(df.where("e = 1"), "e", "p", "2025-12-31").collect()} == {"1", None}
 
 
 def test_positions(spark):
@@ -165,11 +210,14 @@ def test_positions(spark):
 
 
 def test_normalize_name(spark):
-    n = lambda s, **k: one(spark, S.normalize_name("x", **k), x=s)
-    assert n("Smith & Co. (Europe), Inc.") == "SMITH AND CO INC"
+    n = lambda s, v="l3b", **k: one(spark, S.normalize_name("x", v, **k), x=s)
+    assert n("PF Small-Cap Fund (formerly named PF Growth Fund), Inc.") == "PF SMALL CAP FUND" and n("The U.S. Growth Co Fund") == "US GROWTH FUND"
+    assert n("The U.S. Growth Fund", "l3") == n("The U.S. Growth Fund", "l2") == "U S GROWTH FUND"
+    assert n("S&P 500") == n("SandP 500") == n("S and P 500") == n("S&P 500", "l2") == "S P 500" and n("A & B") == "A B"
     assert n("6721 500 Index B") == "6721 500 INDEX B" and n("6721 500 Index B", drop_code=True) == "500 INDEX B"
-    assert n("500 Index Fund", drop_code=True) == "500 INDEX FUND"
-    assert n("ORBIMED ADVISORS, L.L.C.", drop_legal=True) == "ORBIMED ADVISORS"
+    assert n("500 Index Fund", drop_code=True) == "500 INDEX FUND" and n("Trust Na Formerly Held") == "TRUST NA FORMERLY HELD"
+    assert one(spark, S.simple_name("x"), x="ORBIMED ADVISORS, L.L.C.") == "ORBIMED ADVISORS" and one(spark, S.simple_name("x"), x="Smith & Co. (Europe), Inc.") == "SMITH AND"
+    assert one(spark, S.designator("x"), x="SBL FUND SERIES N") == "N" and one(spark, S.designator("x"), x="PORTFOLIO BOND") is None
 
 
 def test_similar_is_exact(spark):
@@ -229,6 +277,27 @@ def test_sentences_and_features():
     assert K.features("")["n_words"] == 0 and K.score("", {"sent_len_cv": (0, 1)}) is None
 
 
+def test_limits_are_gone(spark):
+    """Long cells, wide spans and one-letter patterns are whole."""
+    long = "H" + "o" * 200
+    assert FK.ownership(f"{long} | {'t' * 90} | 12 | 34 | 5.6%")[0]["holder"] == long
+    assert FK.people(f"{long} | 44 | {'chief ' * 20}executive officer")[0] == {"seq": 0, "name": long, "age": 44, "position": ("chief " * 20) + "executive officer", "is_ceo": True}
+    row = FK.html_tables("<table><tr><td colspan=70>a</td><td>b</td></tr></table>")[0][0]
+    assert len(row) == 71 and row[70] == "b"
+
+
+def test_pattern_places(spark):
+    df = spark.createDataFrame([(1, "the board met; the boardroom was cold\nTHE BOARD"), (2, None), (3, "")], "i int, t string")
+    got = sorted((r["line"], r["col"], r["end"]) for r in TX.pattern_hits(df, ["i"], "t", {"b": r"\bthe board\b"}).collect())
+    assert got == [(1, 1, 10), (2, 1, 10)]
+
+
+def test_false_precision_masks():
+    text = "See Pub. L. 111.2034 and DGCL 2.1234 for the rule in this case.\nThe long run mean was^[a note of 1.2345 here] near 0.5678 in all of them.\n#table(\n 1.2345 one two three four\n)"
+    assert [x for _, x in K.false_precision(text)] == ["0.5678"]
+    assert K.normalize("a\npage 3\n12345\nb") == "a page 3 b"
+
+
 def test_false_precision():
     text = "The mean effect was 0.3952 in our sample of firms.\n| 0.3952 | a table row of many words here |\nRule 14.1234 applies to the firms we study.\nIt rose 12.34 percent over all the years.\nCosts were $1,234.567 for each of the firms."
     assert [x for _, x in K.false_precision(text)] == ["0.3952", "12.34 percent"]
@@ -273,7 +342,9 @@ def test_filings():
     assert FK.form4(form) == [{"issuer_cik": "1", "ticker": None, "owner_cik": "9", "owner": None, "is_director": True}]
     head = "ACCESSION NUMBER:\t0001-24-1\nFILED AS OF DATE:\t20240105\nCONFORMED SUBMISSION TYPE:\tSC 13G\nSUBJECT COMPANY:\n\tCENTRAL INDEX KEY:\t12\nFILED BY:\n\tCENTRAL INDEX KEY:\t34\n</SEC-HEADER>\nCENTRAL INDEX KEY:\t56"
     assert [(r["role"], r["cik"]) for r in FK.header_roles(head)] == [("subject", "0000000012"), ("filed_by", "0000000034")]
-    assert FK.percent_of_class("11) Percent of class represented\n\n(11.) 7.5%\n300%") == 7.5 and FK.percent_of_class("none") is None
+    assert FK.percent_of_class("11) Percent of class represented\n\n(11.) 7.5%\n300%") == 7.5 and FK.percent_of_class("none") == 0.0
+    assert FK.percent_of_class("Percent of class: -0-") == 0.0 and FK.percent_of_class("PERCENT\n\n\n\nrow\n12,5 %") == 12.5 and abs(FK.percent_of_class("percent\n905.2%") - 5.2) < 1e-9
+    assert FK.percent_of_class("percent of the class\n6.25") == 6.25 and FK.percent_of_class("") == 0.0
     assert FK.dual_class("Class A common stock and Class B common stock") and not FK.dual_class("Class A common stock only")
 
 
