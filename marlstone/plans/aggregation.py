@@ -137,12 +137,12 @@ def _(t):
     "agg_weighted_mean",
     """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS v, count(*) AS w FROM events GROUP BY 1, 2),
        l AS (SELECT *, lag(w) OVER (PARTITION BY user_id ORDER BY day) AS lw FROM d)
-       SELECT day, round(sum(v * lw) / sum(lw), 6) AS weighted FROM l WHERE lw IS NOT NULL GROUP BY day""",
+       SELECT day, round(sum(v * lw) / sum(lw), 9) AS weighted FROM l WHERE lw IS NOT NULL GROUP BY day""",
 )
 def _(t):
     d = t("events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("w"))
     d = d.withColumn("lw", F.lag("w").over(Window.partitionBy("user_id").orderBy("day"))).where("lw is not null")
-    return d.groupBy("day").agg(F.round(A.weighted_mean("v", "lw"), 6).alias("weighted"))
+    return d.groupBy("day").agg(F.round(A.weighted_mean("v", "lw"), 9).alias("weighted"))
 
 
 @R.on("agg_having_extreme", "SELECT wficn, hold_id FROM tfn_holdings t WHERE fdate = (SELECT max(fdate) FROM tfn_holdings u WHERE u.wficn = t.wficn)")

@@ -94,7 +94,11 @@ def _(t):
     return t("own_rows").select("company", S.simple_name("company").alias("name")).distinct()
 
 
-@R.on("fn_abbrev_expand")
+@R.on(
+    "fn_abbrev_expand",
+    f"""SELECT DISTINCT fundname, array_to_string(list_transform(string_split(trim(regexp_replace(upper(fundname), '\\s+', ' ', 'g')), ' '),
+        lambda w: CASE w {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.ABBREVIATIONS.items())} ELSE w END), ' ') AS full_name FROM split_s12 WHERE fundname IS NOT NULL""",
+)
 def _(t):
     return t("split_s12").where("fundname is not null").select("fundname").distinct().select("fundname", S.expand_abbreviations(F.upper("fundname")).alias("full_name"))
 
@@ -109,7 +113,12 @@ def _(t):
     return t("split_s12").where("fundname is not null").select("fundname").distinct().select("fundname", S.designator(F.upper("fundname")).alias("d"))
 
 
-@R.on("fn_family_tokens")
+@R.on(
+    "fn_family_tokens",
+    """WITH w AS (SELECT DISTINCT fundname, list_filter(string_split_regex(upper(fundname), '\\s+'), lambda x: length(x) >= 4 AND x NOT IN ('FUND', 'GROWTH', 'EQUITY', 'INDEX', 'BOND', 'INCOME')) AS ws
+       FROM split_s12 WHERE fundname IS NOT NULL)
+       SELECT fundname, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), '|') AS family FROM w""",
+)
 def _(t):
     stop = ["FUND", "GROWTH", "EQUITY", "INDEX", "BOND", "INCOME"]
     return t("split_s12").where("fundname is not null").select("fundname").distinct().select("fundname", F.array_join(S.family_tokens(F.upper("fundname"), stop), "|").alias("family"))
@@ -120,7 +129,12 @@ def _(t):
     return t("split_s12").where("cusip is not null").select("cusip").distinct().select("cusip", S.split_digits("cusip").alias("parts"))
 
 
-@R.on("fn_strip_leading")
+@R.on(
+    "fn_strip_leading",
+    """WITH w AS (SELECT DISTINCT holder_name, list_filter(string_split_regex(upper(holder_name), '\\s+'), lambda x: x <> '') AS ws FROM own_rows),
+       f AS (SELECT *, len(ws) AS n, list_position(list_transform(ws, lambda x: x IN ('THE', 'MR.', 'DR.', 'HON.', 'MS.')), false) AS first FROM w)
+       SELECT holder_name, array_to_string(ws[greatest(least(CASE WHEN coalesce(first, 0) = 0 THEN n ELSE first - 1 END, n - 2), 0) + 1 :], ' ') AS name FROM f""",
+)
 def _(t):
     return t("own_rows").select("holder_name").distinct().select("holder_name", S.strip_leading(F.upper("holder_name"), ["THE", "MR.", "DR.", "HON.", "MS."]).alias("name"))
 
@@ -190,7 +204,12 @@ def _(t):
     return t("documents").select("doc_id", F.md5(S.sanitize("text")).alias("h"))
 
 
-@R.on("fn_html_plain")
+@R.on(
+    "fn_html_plain",
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS t FROM documents),
+        b AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^<>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM a)
+        SELECT doc_id, trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain FROM b""",
+)
 def _(t):
     return t("documents").select("doc_id", S.html_plain("text").alias("plain"))
 

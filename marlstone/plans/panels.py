@@ -66,7 +66,13 @@ def panel_inst_own(t):
     return o.select("entity", "period", "numowners", "io_total", F.round("ioc_hhi", 9).alias("ioc_hhi"), "newinst", "oldinst", F.round("dbreadth", 6).alias("dbreadth"), F.round("ior", 6).alias("ior"))
 
 
-@R.on("panel_inst_own_flags")
+@R.on(
+    "panel_inst_own_flags",
+    _OWN
+    + """, j AS (SELECT entity, q, period, numowners, coalesce(numowners <> lag(numowners) OVER w, false) AS owners_changed, coalesce(abs(numowners / lag(numowners) OVER w - 1) >= 0.5, false) AS jump
+         FROM p WINDOW w AS (PARTITION BY entity ORDER BY q))
+       SELECT entity, period, numowners, owners_changed, coalesce(lag(jump) OVER w, false) OR jump OR coalesce(lead(jump) OVER w, false) AS near_jump FROM j WINDOW w AS (PARTITION BY entity ORDER BY q)""",
+)
 def _(t):
     return P.ownership_flags(_ownership(t)).select("entity", "period", "numowners", "owners_changed", "near_jump")
 
@@ -136,7 +142,20 @@ def _(t):
     return P.short_interest(r, links)
 
 
-@R.on("panel_blockholders")
+@R.on(
+    "panel_blockholders",
+    r"""WITH o AS (SELECT *, CASE WHEN percent < 10 THEN 'SC 13G' ELSE 'SC 13D' END AS form,
+            CASE WHEN is_group_row OR regexp_matches(upper(holder_name), '\b(?:INC|LLC|LP|L\.P|LTD|MANAGEMENT|MGMT|MGT|ADVISORS|ADVS?|PARTNERS|FUNDS?)\b') THEN 'ia' ELSE 'in' END AS item12
+            FROM own_rows WHERE holder_name IS NOT NULL AND filing_date IS NOT NULL AND NOT is_group_row AND percent > 4.5),
+        y AS (SELECT *, CAST(year(filing_date) - CASE WHEN date_diff('day', make_date(year(filing_date), 1, 1), filing_date) <= 14
+            OR (form = 'SC 13G' AND date_diff('day', make_date(year(filing_date), 2, 14), filing_date) <= 10) THEN 1 ELSE 0 END AS INTEGER) AS y FROM o),
+        d AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY cik, holder_name, y ORDER BY filing_date DESC, own_row) = 1),
+        g AS (SELECT *, lead(y) OVER (PARTITION BY cik, holder_name ORDER BY y) - y AS gap FROM d),
+        e AS (SELECT cik, holder_name, percent, form, item12, CAST(y + i AS INTEGER) AS y, i > 0 AS filled FROM (SELECT *, unnest(range(0, CASE WHEN gap IN (2, 3, 4) THEN gap ELSE 1 END)) AS i FROM g)),
+        f AS (SELECT DISTINCT year(rdate) AS y FROM tfn_holdings WHERE rdate IS NOT NULL)
+        SELECT e.cik, e.holder_name, e.y, e.percent, e.filled, CASE WHEN item12 = 'in' THEN 'individual' WHEN f.y IS NULL THEN 'other' WHEN form LIKE '%13D%' THEN 'active' ELSE 'passive' END AS kind
+        FROM e LEFT JOIN f ON f.y = e.y""",
+)
 def _(t):
     o = t("own_rows").where("holder_name is not null and filing_date is not null and not is_group_row").withColumn("form", block_form())
     o = o.withColumn("y", S.fiscal_year("filing_date", "form", "percent")).where("percent > 4.5")

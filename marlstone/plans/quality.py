@@ -20,7 +20,15 @@ def _mixed(t):
     return t("own_rows").select("own_row", "cik", "parser", "percent_marker", "holder_name", F.lit("us").alias("region"), "filing_date")
 
 
-@R.on("dq_constant", "SELECT 'region' AS \"column\", 1 AS n_unique")
+@R.on(
+    "dq_constant",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) + CAST(coalesce(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_unique FROM (SELECT *, 'us' AS region FROM own_rows)"""
+        for c in ("own_row", "cik", "parser", "percent_marker", "holder_name", "region", "filing_date")
+    )
+    + ") WHERE n_unique <= 1",
+)
 def _(t):
     return Q.constant_columns(_mixed(t), Q.Declaration())
 

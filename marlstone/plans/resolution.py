@@ -184,7 +184,15 @@ def _(t):
     return E.coverage_rollup(h, F.year("rdate"), F.coalesce("feed", F.lit("none")), F.col("ok").isNotNull(), F.col("shares"))
 
 
-@R.on("er_narrow")
+@R.on(
+    "er_narrow",
+    """WITH j AS (SELECT h.hold_id, p.map_id, coalesce(h.rdate BETWEEN p.begdt AND coalesce(p.enddt, DATE '9999-12-31'), false) AS a, coalesce(p.loaddt <= h.rdate, false) AS b, p.enddt IS NULL AS c
+           FROM tfn_holdings h JOIN portnomap p USING (crsp_fundno)),
+       x AS (SELECT *, CASE WHEN count(*) FILTER (a) OVER (PARTITION BY hold_id) > 0 THEN a ELSE true END AS i1 FROM j),
+       y AS (SELECT *, CASE WHEN count(*) FILTER (i1 AND b) OVER (PARTITION BY hold_id) > 0 THEN i1 AND b ELSE i1 END AS i2 FROM x),
+       z AS (SELECT *, CASE WHEN count(*) FILTER (i2 AND c) OVER (PARTITION BY hold_id) > 0 THEN i2 AND c ELSE i2 END AS i3 FROM y)
+       SELECT hold_id, CASE WHEN count(*) = 1 THEN min(map_id) END AS map_id, count(*) AS n_left FROM z WHERE i3 GROUP BY 1""",
+)
 def _(t):
     """The span of a holding's fund: by date, then by known time, then open ended."""
     h = t("tfn_holdings").select("hold_id", "crsp_fundno", "rdate")

@@ -94,7 +94,12 @@ def _(t):
     return D.gap_fill(y, ["cik"], "y")
 
 
-@R.on("doc_rule_classify")
+@R.on(
+    "doc_rule_classify",
+    r"""WITH k AS (SELECT doc_id, text, (SELECT count(*) FROM (SELECT unnest(['class\s+a\s+common', 'class\s+b\s+common', 'ten\s+votes\s+per\s+share', 'one\s+vote\s+per\s+share', 'super-?voting', 'dual[- ]class']) AS p)
+            WHERE regexp_matches(text, '(?i)' || p)) AS n FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, n >= 2 OR (n = 1 AND regexp_matches(text, '(?i)(\b(ten|10|twenty|20|multiple)\s+votes\b)|votes?\s+per\s+share')) AS dual FROM k""",
+)
 def _(t):
     return X.per_text(_docs(t), ["doc_id"], ["text"], "dual boolean", lambda s: [{"dual": FK.dual_class(s)}])
 
@@ -179,11 +184,10 @@ def _(t):
 
 
 def _quotes(t):
-    """Of every text that is not empty its own middle third as a quote, as it stands, with an elision, or with the parts turned round."""
-    d = _docs(t).where("length(text) > 0").withColumn("n", F.length("text"))
-    part = lambda at, of: F.substring(F.col("text"), (F.col("n") * at / 12).cast("int") + 1, F.greatest((F.col("n") * of / 12).cast("int"), F.lit(1)))
-    first, second = part(4, 2), part(7, 1)
-    q = F.when(F.col("doc_id") % 3 == 0, part(4, 4)).when(F.col("doc_id") % 3 == 1, F.concat(first, F.lit(" ... "), second)).otherwise(F.concat(second, F.lit(" ... "), first))
+    """Of every text that is not empty a quote from its middle, of a sixth of it and at most 80 characters a part: as it stands, with an elision, or with the parts turned round."""
+    d = _docs(t).where("length(text) > 0").withColumn("n", F.length("text")).withColumn("k", F.expr("least(greatest(n div 6, 1), 80)").cast("int"))
+    a, b = F.expr("substring(text, cast(n div 3 as int) + 1, k)"), F.expr("substring(text, cast(n div 2 as int) + k + 1, k)")
+    q = F.when(F.col("doc_id") % 3 == 0, a).when(F.col("doc_id") % 3 == 1, F.concat(a, F.lit(" ... "), b)).otherwise(F.concat(b, F.lit(" ... "), a))
     return d.select("doc_id", "text", q.alias("quote"))
 
 
@@ -216,6 +220,14 @@ def _(t):
     return X.bag_of_words(_docs(t), ["doc_id"], "text")
 
 
-@R.on("txt_quote_fragments")
+@R.on(
+    "txt_quote_fragments",
+    r"""WITH d AS (SELECT doc_id, text, length(text) AS n, least(greatest(length(text) // 6, 1), 80) AS k FROM documents WHERE length(text) > 0),
+        p AS (SELECT doc_id, text, substr(text, n // 3 + 1, k) AS a, substr(text, n // 2 + k + 1, k) AS b FROM d),
+        q AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN a || ' ... ' || b ELSE b || ' ... ' || a END AS quote FROM p),
+        f AS (SELECT doc_id, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS flat,
+            list_filter(list_transform(string_split_regex(quote, '\.{3}|…'), lambda x: trim(lower(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g')))), lambda x: length(x) >= 15) AS fs FROM q)
+        SELECT doc_id, len(list_filter(fs, lambda x: NOT contains(flat, x))) = 0 AS present FROM f""",
+)
 def _(t):
     return _quotes(t).select("doc_id", X.fragments_present(F.col("quote"), F.col("text")).alias("present"))
