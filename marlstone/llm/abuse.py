@@ -87,6 +87,7 @@ class Decoder:
                     self.by_cut.setdefault(cut, []).append(w)
         #: What a token stands for: most tokens come again and again.
         self.token = lru_cache(maxsize=1 << 17)(self._token)
+        self.calm: set[str] = set()
 
     @staticmethod
     def _model(counts: np.ndarray, words: list[str], mix: float) -> list:
@@ -174,6 +175,8 @@ class Decoder:
     _PIECES = re.compile(rf"({_GAP}+)")
     _TOKEN = re.compile(r"[^\s,;:?\"“”()<>/\[\]]+")
 
+    _WORD = re.compile(r"\S+")
+
     def _join(self, run: str) -> str:
         """The likeliest words behind a run of spaced letters; each gap, however wide, is nothing or a word's end."""
         parts = self._PIECES.split(run)
@@ -214,8 +217,15 @@ class Decoder:
             t = _HIDDEN.sub("", t)
             t = _FOREIGN.sub(lambda m: w if re.search(r"[a-z]", w := m.group(0).translate(_HOMOGLYPHS)) else m.group(0), t)
         t = self._SPACED.sub(lambda m: self._join(m.group(0)), t)
-        out = {w: r for w in set(self._TOKEN.findall(t)) if (r := self.token(w)) != w}
-        return self._TOKEN.sub(lambda m: out.get(m.group(0), m.group(0)), t) if out else t
+        # Most words come again and again as they are: only new ones are looked into.
+        out = {}
+        for w in set(t.split()) - self.calm:
+            restored = self._TOKEN.sub(lambda m: self.token(m.group(0)), w)
+            if restored != w:
+                out[w] = restored
+            elif len(self.calm) < 1 << 18:
+                self.calm.add(w)
+        return self._WORD.sub(lambda m: out.get(m.group(0), m.group(0)), t) if out else t
 
     def _token(self, s: str) -> str:
         core = s.strip(".'’-—…")

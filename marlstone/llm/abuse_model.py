@@ -12,7 +12,7 @@ import numpy as np
 from marlstone.llm.abuse_lexicon import BIAS, PHRASE_WORDS, PRIOR, ROLE, plain, roles
 
 LABELS = ["clean", "abusive", "hateful", "sexual"]
-_SPLIT = re.compile(r"[.!?]+(?:\s|$)|\n+|\s{2,}")
+_BLANKS = str.maketrans({"\t": " ", "\xa0": " ", "\r": "\n", "\x0b": "\n", "\x0c": "\n", "\u2028": "\n", "\u2029": "\n", "\u3000": " "})
 _WORD = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f\s]")
 _ALWAYS = frozenset({*ROLE, *PHRASE_WORDS, *"a i m u s t re ll".split()})
 
@@ -20,7 +20,9 @@ _ALWAYS = frozenset({*ROLE, *PHRASE_WORDS, *"a i m u s t re ll".split()})
 def sentences(restored: str, most: int = 24) -> list[str]:
     """The sentences of a restored text in plain letters; one of over ``most`` words as overlapping stretches of that many words."""
     out = []
-    for s in _SPLIT.split(plain(restored)):
+    text = plain(restored).translate(_BLANKS) if not restored.isascii() or "\t" in restored or "\r" in restored else restored.lower()
+    # A stop before a blank, a line's end or two blanks end a sentence; other signs are no words and may stay.
+    for s in text.replace(". ", "\n").replace("! ", "\n").replace("? ", "\n").replace("  ", "\n").split("\n"):
         if s.count(" ") < most:
             if s and not s.isspace():
                 out.append(s)
@@ -51,7 +53,7 @@ class AbuseModel:
         self.known: frozenset[str] = _ALWAYS
         self.weights: dict[str, tuple[float, float, float]] = dict(PRIOR)
         self.bias = BIAS
-        self.odds_of: dict[tuple[str, ...], tuple[float, float, float]] = {}
+        self.chances_of: dict[tuple[str, ...], tuple[float, float, float, float]] = {}
 
     def masked(self, sentence: str) -> tuple[str, ...]:
         known = self.known
@@ -65,29 +67,32 @@ class AbuseModel:
         return [*roles(masked), *sorted(out)]
 
     def sentence_odds(self, sentence: str) -> tuple[float, float, float]:
+        return self._odds(self.masked(sentence))
+
+    def _odds(self, masked: tuple[str, ...]) -> tuple[float, float, float]:
+        a, h, s = self.bias
+        get = self.weights.get
+        for f in self.features(masked):
+            w = get(f)
+            if w is not None:
+                a, h, s = a + w[0], h + w[1], s + w[2]
+        return a, h, s
+
+    def _chances(self, sentence: str) -> tuple[float, float, float, float]:
         masked = self.masked(sentence)
-        found = self.odds_of.get(masked)
+        found = self.chances_of.get(masked)
         if found is None:
-            a, h, s = self.bias
-            get = self.weights.get
-            for f in self.features(masked):
-                w = get(f)
-                if w is not None:
-                    a, h, s = a + w[0], h + w[1], s + w[2]
-            if len(self.odds_of) >= 1 << 16:
-                self.odds_of.clear()
-            found = self.odds_of[masked] = (a, h, s)
+            a, h, s = (math.exp(min(x, 50.0)) for x in self._odds(masked))
+            total = 1 + a + h + s
+            if len(self.chances_of) >= 1 << 16:
+                self.chances_of.clear()
+            found = self.chances_of[masked] = (a / total, h / total, s / total, (a + h + s) / total)
         return found
 
     def score(self, restored: str) -> tuple[float, float, float, float]:
         """Probabilities of abusive, hateful, sexual and of any of them, each that of the worst sentence; (0, 0, 0, 0) without any."""
-        odds = {self.sentence_odds(s) for s in sentences(restored)}
-        best = [0.0, 0.0, 0.0, 0.0]
-        for a, h, s in odds:
-            a, h, s = math.exp(min(a, 50.0)), math.exp(min(h, 50.0)), math.exp(min(s, 50.0))
-            total = 1 + a + h + s
-            best = [max(x, y / total) for x, y in zip(best, (a, h, s, a + h + s), strict=True)]
-        return tuple(best)
+        found = {self._chances(s) for s in sentences(restored)}
+        return tuple(map(max, zip(*found, strict=True))) if found else (0.0, 0.0, 0.0, 0.0)
 
     def fit(self, docs: list[Doc]) -> AbuseModel:
         """EM over what each document is: labels through each reviewer's own error rates, and the best evidence among its sentences.
