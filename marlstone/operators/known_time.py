@@ -18,13 +18,13 @@ class KnownTimeTree:
     only the nodes on its paths; all older roots stay as they were.
     """
 
-    def __init__(self, spans: list[tuple[int, int, int, int]]):
+    def __init__(self, spans: list[tuple[int, int, int, object]]):
         cuts = sorted({x for _, first, last, _ in spans for x in (first, last + 1)})
         self.cuts, self.width = cuts, max(len(cuts) - 1, 1)
         self.left, self.right, self.mark = [0], [0], [-1]  # node 0: empty
         self.times: list[int] = []
         self.roots: list[int] = []
-        self.values: list[int] = []
+        self.values: list[object] = []
         root = 0
         for known, first, last, value in spans:
             self.values.append(value)
@@ -50,7 +50,7 @@ class KnownTimeTree:
             self.right[new] = self._insert(self.right[node], mid, hi, a, b, rank)
         return new
 
-    def find(self, known: int, valid: int) -> int | None:
+    def find(self, known: int, valid: int) -> object | None:
         """The value of the last known span that covers ``valid`` as of ``known``."""
         at = bisect_right(self.times, known) - 1
         if at < 0 or not self.cuts[0] <= valid < self.cuts[-1]:
@@ -69,7 +69,7 @@ class KnownTimeTree:
 
 
 def as_known_at(
-    events: DataFrame, key: str, at: str, spans: DataFrame, span_id: str, first: str, last: str, known: str, shard_days: int = 1830
+    events: DataFrame, key: str, at: str, spans: DataFrame, span_id: str, first: str, last: str, known: str, shard_days: int = 1830, shard_spans: int = 50_000
 ) -> DataFrame:
     """All ``events`` columns and ``span_id`` of the span valid and known at ``at``; events without one are left out.
 
@@ -78,18 +78,16 @@ def as_known_at(
     ``first``, then ``span_id`` wins.  Null key, ``first`` or ``at`` never match;
     reversed spans cover nothing; repeated spans and events keep the rules above.
 
-    One tree is built per key and shard of ``shard_days`` valid days, so neither a
-    long history nor a hot key ends in one group: the answer depends on key and
-    day alone, hence events are reduced to distinct (key, day) first - at most
-    ``shard_days`` a group - and the answers are joined back by (key, day), where
-    adaptive execution splits skewed keys.
+    One tree is built per key, shard of ``shard_days`` valid days and piece of about
+    ``shard_spans`` spans, so neither a long history nor a hot key ends in one
+    group: the answer depends on key and day alone, hence events are reduced to
+    distinct (key, day) first - at most ``shard_days`` a group, asked of each piece -
+    the best of the pieces' answers counts, and answers are joined back by
+    (key, day), where adaptive execution splits skewed keys.
     """
     day = lambda c: F.unix_date(F.col(c).cast("date"))
     asked = events.select(F.col(key).alias("k"), day(at).alias("a")).where("k is not null and a is not null").distinct()
-    asked = asked.select(
-        "k", F.floor(F.col("a") / shard_days).cast("int").alias("sh"), F.lit(1).alias("kind"), F.lit(0).alias("l"), "a",
-        F.col("a").alias("b"), F.lit(0).cast("long").alias("id"),
-    )
+    asked = asked.select("k", F.floor(F.col("a") / shard_days).cast("int").alias("sh"), "a")
     # Later trees than the last event's shard are never asked; open ends are clipped there.
     reach = F.lit(2932896)
     held = (
@@ -98,14 +96,15 @@ def as_known_at(
         .groupBy("k", "l", "a", "b").agg(F.max("id").alias("id"))
     )
     shards = asked.select("k", "sh").distinct()
-    held = (
-        held.join(shards, "k").where(f"sh >= floor(a / {shard_days}) and sh <= floor(b / {shard_days}) and l < (sh + 1) * {shard_days}")
-        .select("k", "sh", F.lit(0).alias("kind"), "l", "a", "b", "id")
-    )
-    both = held.unionByName(asked).repartition("k", "sh").sortWithinPartitions("k", "sh", "kind", "l", "a", "id")
+    held = held.join(shards, "k").where(f"sh >= floor(a / {shard_days}) and sh <= floor(b / {shard_days}) and l < (sh + 1) * {shard_days}")
+    pieces = held.groupBy("k", "sh").agg(F.ceil(F.count("*") / shard_spans).cast("int").alias("m")).where("m > 1")
+    split = lambda df: df.join(pieces, ["k", "sh"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    held = split(held).select("k", "sh", F.pmod(F.xxhash64("l", "a", "b"), "m").cast("int").alias("piece"), F.lit(0).alias("kind"), "l", "a", "b", "id")
+    asked = split(asked).select("k", "sh", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("piece"), F.lit(1).alias("kind"), F.lit(0).alias("l"), "a", F.col("a").alias("b"), F.lit(0).cast("long").alias("id"))
+    both = held.unionByName(asked).repartition("k", "sh", "piece").sortWithinPartitions("k", "sh", "piece", "kind", "l", "a", "id")
     k_type = both.schema["k"].dataType.simpleString()
-    found = both.mapInArrow(_search, f"k {k_type}, a int, id bigint")
-    found = found.select(F.col("k").alias("_k"), F.col("a").alias("_a"), F.col("id").alias("_found"))
+    found = both.mapInArrow(_search, f"k {k_type}, a int, l int, f int, id bigint")
+    found = found.groupBy(F.col("k").alias("_k"), F.col("a").alias("_a")).agg(F.max(F.struct("l", "f", "id"))["id"].alias("_found"))
     kept = events.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     joined = kept.join(found, (kept[key] == found["_k"]) & (F.unix_date(kept[at].cast("date")) == found["_a"]))
     return joined.select(*[kept[c] for c in kept.columns if c != span_id], F.col("_found").alias(span_id))
@@ -116,20 +115,21 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ks, shs, kinds, ls, as_, bs, ids = (batch.column(n).to_pylist() for n in ("k", "sh", "kind", "l", "a", "b", "id"))
-        out_k, out_a, out_id = [], [], []
-        for k, sh, kind, known, a, b, i in zip(ks, shs, kinds, ls, as_, bs, ids, strict=True):
-            if (k, sh) != group:
-                group, spans, tree = (k, sh), [], None
+        cols = (batch.column(n).to_pylist() for n in ("k", "sh", "piece", "kind", "l", "a", "b", "id"))
+        out_k, out_a, out = [], [], []
+        for k, sh, piece, kind, known, a, b, i in zip(*cols, strict=True):
+            if (k, sh, piece) != group:
+                group, spans, tree = (k, sh, piece), [], None
             if kind == 0:
-                spans.append((known, a, b, i))
+                spans.append((known, a, b, (known, a, i)))
                 continue
             if tree is None and spans:
                 tree = KnownTimeTree(spans)
             if tree is not None and (hit := tree.find(a, a)) is not None:
                 out_k.append(k)
                 out_a.append(a)
-                out_id.append(hit)
+                out.append(hit)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_k, batch.schema.field("k").type), pa.array(out_a, pa.int32()), pa.array(out_id, pa.int64())], names=["k", "a", "id"]
+            [pa.array(out_k, batch.schema.field("k").type), pa.array(out_a, pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64())],
+            names=["k", "a", "l", "f", "id"],
         )

@@ -146,8 +146,9 @@ def test_known_brute(spark, seed, shard):
     events = [(i, rng.choice([1, 1, 1, 2, 3, 4, None]), some(rng.randint(-50, 1200))) for i in range(500)]
     ev = spark.createDataFrame([(*e, "x") for e in events], "hold_id long, f long, rdate date, map_id string")
     sp = spark.createDataFrame([(*s, 1) for s in spans], "map_id long, f long, begdt date, enddt date, loaddt date, hold_id int")
-    got = {r["hold_id"]: r["map_id"] for r in as_known_at(ev, "f", "rdate", sp, "map_id", "begdt", "enddt", "loaddt", shard).collect()}
-    assert got == brute_known(events, spans)
+    for most in (50_000, 3):  # one piece a shard, and hot keys' spans in pieces
+        got = {r["hold_id"]: r["map_id"] for r in as_known_at(ev, "f", "rdate", sp, "map_id", "begdt", "enddt", "loaddt", shard, most).collect()}
+        assert got == brute_known(events, spans)
 
 
 def test_known_empty(spark):
