@@ -49,12 +49,17 @@ def coverage_window(text: str) -> Coverage:
     return Coverage(m.group(1), m.group(2), m.group(3))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: ``column, n, nulls, n_unique`` (a null counts as one value), in two passes of partial aggregation."""
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column: ``column, n, nulls, n_unique`` (a null counts as one value).
+
+    Counting distinct values of every column at once shuffles each row once a
+    column.  Where only one value or more matters, not ``exact`` tells 0, 1 and 2
+    (two or more) by the least and greatest value, in one partial aggregation.
+    """
     plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(plain):
-        aggs += [F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"_z{i}"), F.countDistinct(F.col(f"`{c}`")).alias(f"_u{i}")]
+        aggs += [F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"_z{i}"), (F.countDistinct(F.col(f"`{c}`")) if exact else _few(F.col(f"`{c}`"))).alias(f"_u{i}")]
     one = df.agg(*aggs)
     rows = [
         F.struct(F.lit(c).alias("column"), F.col("_n").alias("n"), F.coalesce(f"_z{i}", F.lit(0)).alias("nulls"), (F.col(f"_u{i}") + (F.coalesce(f"_z{i}", F.lit(0)) > 0).cast("long")).alias("n_unique"))
@@ -63,15 +68,19 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def _few(c: Column) -> Column:
+    return F.when(F.min(c).isNull(), 0).when(F.min(c) == F.max(c), 1).otherwise(2).cast("long")
+
+
 def constant_columns(df: DataFrame, d: Declaration) -> DataFrame:
     """DQ1: columns of at most one value, unless declared constant and never null."""
-    p = column_profile(df).where("n_unique <= 1")
+    p = column_profile(df, exact=False).where("n_unique <= 1")
     return p.where(~(F.col("column").isin(d.constant or [""]) & (F.col("nulls") == 0))).select("column", "n_unique")
 
 
 def null_columns(df: DataFrame, d: Declaration, share: float = 0.5) -> DataFrame:
     """DQ2: columns null in more than ``share`` of the rows, unless declared sparse."""
-    p = column_profile(df).where(F.col("nulls") > share * F.col("n"))
+    p = column_profile(df, exact=False).where(F.col("nulls") > share * F.col("n"))
     return p.where(~F.col("column").isin(d.sparse or [""])).select("column", F.round(F.col("nulls") / F.col("n"), 6).alias("null_share"))
 
 

@@ -24,14 +24,17 @@ def per_text(df: DataFrame, keep: list[str], inputs: list[str], schema: str, ker
     out_schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Kept columns are never turned into Python values: their rows are taken as often as the kernel gives any.
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                args = [r[f"_in{i}"] for i in range(len(inputs))]
-                if all(a is not None for a in args):
-                    base = {k: r[k] for k in keep}
-                    out += [base | x for x in kernel(*args)]
-            yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+            at, out = [], []
+            for j, args in enumerate(zip(*(batch.column(f"_in{i}").to_pylist() for i in range(len(inputs))), strict=True)):
+                if not any(a is None for a in args):
+                    got = kernel(*args)
+                    out += got
+                    at += [j] * len(got)
+            kept_rows = [batch.column(k).take(pa.array(at, pa.int64())) for k in keep]
+            made = [pa.array([r.get(f.name) for r in out], f.type) for f in fields[len(keep) :]]
+            yield pa.RecordBatch.from_arrays(kept_rows + made, schema=out_schema)
 
     return rows.mapInArrow(run, f"{kept}, {schema}")
 

@@ -1,13 +1,16 @@
-"""Structured Streaming over event tables.  Extension: the reference has no streams; lateness, upsert and bins are its batch forms."""
+"""Structured Streaming over event tables, an extension: lateness, upserts and bins as the batch operators have them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import shared_dir
+
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the parquet files at ``path``: a folder, or a single file, which streams only as part of its folder."""
@@ -51,7 +54,16 @@ def latest(events: DataFrame, key: str, at: str, tie: str, value: str) -> DataFr
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs what is there to the end into a memory table (tests and small results) and returns it."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs what is there to the end into a table of the shared folder and returns it; no row passes the driver.
+
+    In complete mode each batch replaces the table, else its rows are added.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
