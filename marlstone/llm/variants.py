@@ -128,7 +128,7 @@ def _plausible() -> Column:
         """kindx = kindy and sx = sy and case when kindx = 'P'
            then (mx = '' or my = '' or mx = my) and levenshtein(lx, ly, 2) >= 0
                 and (levenshtein(ax, ay, 2) >= 0 or (least(length(ax), length(ay)) = 1 and left(ax, 1) = left(ay, 1)))
-           else levenshtein(concat(lx, ax), concat(ly, ay), 6) >= 0
+           else (levenshtein(lx, ly, 2) >= 0 and levenshtein(ax, ay, 6) >= 0) or levenshtein(concat(lx, ax), concat(ly, ay), 2) >= 0
                 or (lx = ly and least(length(ax), length(ay)) >= 4 and (wholex < 2 or wholey < 2)
                     and ((startswith(ax, ay) and wholey < 2) or (startswith(ay, ax) and wholex < 2))) end"""
     )
