@@ -44,6 +44,12 @@ def anchors(panel: DataFrame, key: str, at: str, price: str, cutoff: str) -> Dat
     return panel.where(F.col(at) == F.lit(cutoff).cast("date")).groupBy(key).agg(F.max(price).alias("anchor"))
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles as IEEE has it: over zero it is infinite, or NaN where ``a`` is zero too; null if either is null."""
+    at_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, at_zero).otherwise(a / F.when(b != 0, b))
+
+
 def splice(panel: DataFrame, vendor: DataFrame, links: DataFrame, cutoff: str) -> DataFrame:
     """The base panel to the cutoff, continued by a vendor's chained returns.
 
@@ -51,7 +57,8 @@ def splice(panel: DataFrame, vendor: DataFrame, links: DataFrame, cutoff: str) -
     ret``; ``links``: ``key, code, usable``.  Vendor rows count only after the
     cutoff, with both a price and a return, and for keys with a price on the cutoff
     day.  Their price is the anchor times the chained returns; the cap moves with
-    the vendor's price relative, not the return, since dividends leave it.
+    the vendor's price relative, not the return, since dividends leave it.  A vendor price
+    of zero on the cutoff day makes the cap and the ratio infinite or NaN.
     """
     cut = F.lit(cutoff).cast("date")
     base = panel.where(F.col("date") <= cut).select("key", "date", "price", "ret", "cap", F.lit(None).cast("double").alias("adj_ratio"), F.lit("base").alias("source"))
@@ -61,7 +68,7 @@ def splice(panel: DataFrame, vendor: DataFrame, links: DataFrame, cutoff: str) -
     new = linked.where((F.col("date") > cut) & F.col("price").isNotNull() & F.col("ret").isNotNull()).join(on_day, "key").join(seam, "key")
     new = cumulative_product(new.withColumnRenamed("price", "v"), ["key"], "date", "ret", F.col("p0"), "price")
     tail = new.select(
-        "key", "date", "price", "ret", (F.col("c0") * F.col("v") / F.col("v0")).alias("cap"), F.try_divide("p0", "v0").alias("adj_ratio"), F.lit("vendor").alias("source")
+        "key", "date", "price", "ret", ieee_ratio(F.col("c0") * F.col("v"), F.col("v0")).alias("cap"), ieee_ratio(F.col("p0"), F.col("v0")).alias("adj_ratio"), F.lit("vendor").alias("source")
     )
     return base.unionByName(tail)
 
