@@ -277,9 +277,12 @@ def _(t):
 
 @R.on("src_jdbc", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def _(t):
-    """Through the embedded database that Spark ships: written, then read by a bound query in key ranges."""
-    url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
-    t("nation").coalesce(1).write.jdbc(url, "NATION", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    """Through the embedded database that Spark ships: written by the driver, then read by a bound query in key ranges.
+
+    A database in memory, or one that a process has opened for writing, is closed to other executors: it is packed into an
+    archive in the shared folder, which any number of processes may read.
+    """
+    url = WR.derby(t("nation"), _place(t, "derby"), "NATION")
     q = 'SELECT "n_nationkey", "n_name" FROM NATION WHERE "n_regionkey" = 2'
     return RD.jdbc(t.spark, url, q, ("n_nationkey", 0, 25, 3), driver="org.apache.derby.jdbc.EmbeddedDriver")
 

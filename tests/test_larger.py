@@ -9,6 +9,23 @@ from pathlib import Path
 
 import __spark_entry__ as entry
 from marlstone.operators import ticks as TK
+from tests import oracle
+
+REPO = Path(__file__).resolve().parent.parent
+
+
+def test_jdbc_on_a_cluster():
+    """Executors of their own: the database must be there for each of them."""
+    code = """
+import __spark_entry__ as e, os, sys, tempfile
+from pyspark.sql import SparkSession
+b = SparkSession.builder.master("local-cluster[2,1,600]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false")
+s = b.config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp()).getOrCreate()
+print("rows", e.queries()["src_jdbc"](s, "/root/testdata/sf0.001").count())
+"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=300)
+    assert "rows 5" in got.stdout, got.stderr[-2000:]
+
 
 
 def test_splice_over_a_price_of_zero(spark):
