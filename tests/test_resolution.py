@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 INPUT = sum(os.path.getsize(f"{SF}/{t}.parquet") for t in ("split_s12", "portnomap"))
 
 #: Queries that match names; no pair of names is shuffled.
-MATCHING = ["er_tfidf_topk", "er_best_margin", "er_family_verdict", "er_scoped", "er_tier_ladder", "er_global", "er_two_pass", "join_topk_similarity", "er_accept_global", "er_digit_guard", "er_scope_bootstrap", "er_threshold_sweep"]
+MATCHING = ["er_tfidf_topk", "er_best_margin", "er_family_verdict", "er_scoped", "er_tier_ladder", "er_global", "er_two_pass", "join_topk_similarity", "er_accept_global", "er_digit_guard", "er_scope_bootstrap", "er_threshold_sweep", "er_variants_query"]
 
 
 @pytest.mark.parametrize("name", MATCHING)
