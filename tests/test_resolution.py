@@ -79,3 +79,36 @@ def test_blocks_keep_the_best(names):
     units = s.reshape(len(s), -1, 5)
     top = best(units.max(2), 2, 0.3)
     assert set(found(k=2, group="unit", digits=12)) == {(i, u * 5 + int(units[i, u].argmax())) for i, u in top}
+
+
+def test_blocks_spare_far_pairs(names, monkeypatch):
+    """From a floor of 0.6 on: every pair as by brute force, and the dense columns are multiplied for few of the pairs only."""
+    from marlstone.functions import cosine
+
+    s, left, right, found = names
+    rows = []
+    einsum = np.einsum
+    monkeypatch.setattr(cosine.np, "einsum", lambda how, a, b: rows.append(len(a)) or einsum(how, a, b))
+    for f in (0.6, 0.7, 0.9):
+        assert set(found(floor=f)) == best(s, 99, f) and set(found(floor=f, k=2, digits=9)) == best(s, 2, f)
+    rows.clear()
+    got = found(floor=0.9)
+    assert all(abs(v - s[p]) < 1e-12 for p, v in got.items()) and len(got) <= sum(rows) < s.size // 4
+
+
+#: Queries whose names are written before they are matched.
+SPELLED = ["er_family_verdict"]
+
+
+@pytest.mark.parametrize("name", SPELLED)
+def test_spellings_are_normalised_not_rows(spark, name):
+    """split_s12 is read once, for its distinct spellings; no name is normalised on the way."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(int(before), 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    reading = [p for p in plans if "split_s12.parquet" in p]
+    assert len(reading) == 1 and "regexp_replace" not in reading[0]
