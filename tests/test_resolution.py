@@ -97,7 +97,7 @@ def test_blocks_spare_far_pairs(names, monkeypatch):
 
 
 #: Queries whose names are written before they are matched.
-SPELLED = ["er_family_verdict", "er_accept_global", "er_scope_bootstrap", "er_threshold_sweep", "er_variants_query", "er_scoped", "er_tier_ladder", "er_global", "er_two_pass"]
+SPELLED = ["er_family_verdict", "er_accept_global", "er_scope_bootstrap", "er_threshold_sweep", "er_variants_query", "er_scoped", "er_tier_ladder", "er_global", "er_two_pass", "er_digit_guard"]
 
 
 @pytest.mark.parametrize("name", SPELLED)
