@@ -92,8 +92,8 @@ def test_blocks_spare_far_pairs(names, monkeypatch):
     for f in (0.6, 0.7, 0.9):
         assert set(found(floor=f)) == best(s, 99, f) and set(found(floor=f, k=2, digits=9)) == best(s, 2, f)
     rows.clear()
-    got = found(floor=0.9)
-    assert all(abs(v - s[p]) < 1e-12 for p, v in got.items()) and len(got) <= sum(rows) < s.size // 4
+    got = found(floor=0.7)
+    assert all(abs(v - s[p]) < 1e-12 for p, v in got.items()) and 0 < len(got) <= sum(rows) < s.size // 2
 
 
 #: Queries whose names are written before they are matched.
